@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,30 @@ def _remove_written() -> None:
             return
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's code to the Python workers of all executors, once a session; Spark serves the file to them."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    package = os.path.basename(root)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{package}-code-"), f"{package}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join(package, os.path.relpath(full, root)))
+    context.addPyFile(archive)
+    context._millrace_shipped = True
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow, with the package at hand in the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,7 +85,7 @@ def sorted_scan(df: DataFrame, order: list, scan, schema, partitions: int | None
     boundary states carry are only meaningful for this one run.
     """
     n = partitions or shuffle_partitions(df.sparkSession)
-    return materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(scan, schema))
+    return materialise(map_arrow(df.repartitionByRange(n, *order).sortWithinPartitions(*order), scan, schema))
 
 
 def iso_millis(c: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core.runtime import materialise, sorted_scan
+from millrace.core.runtime import map_arrow, materialise, sorted_scan
 from millrace.functions.definitions import xml_definition, xml_root
 
 #: step types whose field list is the feed's input (fixed values)
@@ -68,7 +68,7 @@ def feed_versions(files: DataFrame) -> DataFrame:
 
     ktr = files.where(F.upper("file_type") == "KTR")
     own = ktr.select(F.col("id").cast("string").alias("id"), F.col("project_id").cast("string").alias("project_id"), feed_name(F.col("filename")).alias("feed"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("content").cast("binary").alias("content"))
-    return own.mapInArrow(read, _VERSIONS)
+    return map_arrow(own, read, _VERSIONS)
 
 
 @lru_cache(1 << 16)
@@ -204,7 +204,7 @@ def version_changes(versions: DataFrame, partitions: int | None = None) -> DataF
     """
     keyed = versions.select(F.concat_ws("|", F.coalesce("project_id", F.lit("")), F.coalesce("feed", F.lit(""))).alias("feed_key"), "created_at", "id", "names", "types")
     found = sorted_scan(keyed, ["feed_key", "created_at", "id"], _scan, _CHANGES, partitions)
-    border = found.where("kind IN ('head', 'tail')").repartition(1).mapInArrow(_stitch, _CHANGES)
+    border = map_arrow(found.where("kind IN ('head', 'tail')").repartition(1), _stitch, _CHANGES)
     out = ["kind", "feed_key", "file_id", "field_name", "old_name", "old_type", "new_type"]
     return found.where("kind NOT IN ('head', 'tail')").select(out).unionByName(border.select(out))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core.runtime import sorted_scan
+from millrace.core.runtime import map_arrow, sorted_scan
 
 _TS = pa.timestamp("us")
 _SCAN = "kind string, entity string, from_time timestamp_ntz, to_time timestamp_ntz, pid int, bound boolean, bal long, dmin long, lead timestamp_ntz, last_end timestamp_ntz, firm boolean"
@@ -36,7 +36,7 @@ def merged_intervals(df: DataFrame, entity: str, start: str, end: str, partition
     # the sort's unit is one instant of an entity, so ties are never split between partitions
     points = points.groupBy("entity", F.col("p.t").alias("t")).agg(F.sum("p.ns").alias("ns"), F.sum("p.ne").alias("ne"))
     found = sorted_scan(points, ["entity", "t"], _scan, _SCAN, partitions)
-    border = found.where("kind = 'state'").repartition(1).mapInArrow(_stitch, _SCAN)
+    border = map_arrow(found.where("kind = 'state'").repartition(1), _stitch, _SCAN)
     out = ["kind", "entity", "from_time", "to_time"]
     sure = found.where("kind <> 'state' and not bound").select(out)
     # at most one row a partition

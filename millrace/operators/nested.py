@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.core.runtime import map_arrow
 from millrace.functions.definitions import text_definition, text_tree, xml_definition, xml_root
 
 _FLAT = "record_id string, node_kind string, parent_key string, child_key string, position int, type string, value string"
@@ -83,7 +84,7 @@ def child_table(df: DataFrame, keys: list[str], path: str) -> DataFrame:
             own = [pc.struct_field(values, f.name) for f in scalars] if isinstance(item, T.StructType) else [values]
             yield pa.RecordBatch.from_arrays([*ks, *ps, *own], schema.names)
 
-    return df.select(*keys, *roots).mapInArrow(flatten, schema)
+    return map_arrow(df.select(*keys, *roots), flatten, schema)
 
 
 def _lists(rows: list[list], build) -> pa.ListArray:
@@ -154,7 +155,7 @@ def definition_rows(files: DataFrame, texts: DataFrame) -> DataFrame:
     """
     rows = files.select(F.col("id").cast("string").alias("id"), F.col("content").cast("binary").alias("xml"), F.lit(None).cast("string").alias("text"))
     rows = rows.unionByName(texts.select(F.col("id").cast("string").alias("id"), F.lit(None).cast("binary").alias("xml"), F.col("content").cast("string").alias("text")))
-    return rows.mapInArrow(_definitions, _FLAT)
+    return map_arrow(rows, _definitions, _FLAT)
 
 
 def definition_tables(files: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.core.runtime import sorted_scan
+from millrace.core.runtime import map_arrow, sorted_scan
 
 #: ids in a block of keys; a run ends at a block's border, which bounds the rows that are ranked together
 BLOCK = 1 << 20
@@ -77,7 +77,7 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_time: str, links: list[t
         every = every.unionByName(p)
     # ref_id is in the order only to let the sampled quantiles split references of one key and time
     found = sorted_scan(every, ["space", "n", "t", "kind", "ref_id"], _scan, _SCAN, partitions)
-    carry = F.broadcast(found.where(f"kind <> {_REF}").repartition(1).mapInArrow(_carry, _SCAN).select(F.col("pid"), *[F.col(c).alias("c_" + c) for c in ("space", "n", "upto", "t", "known", "seen")]))  # a row a partition
+    carry = F.broadcast(map_arrow(found.where(f"kind <> {_REF}").repartition(1), _carry, _SCAN).select(F.col("pid"), *[F.col(c).alias("c_" + c) for c in ("space", "n", "upto", "t", "known", "seen")]))  # a row a partition
     own = F.col("space").eqNullSafe(F.col("c_space"))
     same = own & (F.col("n") == F.col("c_n"))
     seen = F.col("seen") | F.coalesce(same & F.col("c_seen"), F.lit(False))
