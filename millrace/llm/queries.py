@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.core.runtime import table
-from millrace.llm import mixing, percentiles, tokens
+from millrace.llm import mixing, percentiles, subjects, tokens
 
 _GROUPS = ["project_id", "status"]
 
@@ -45,8 +45,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents, and the sum of posteriors."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("posterior"), 3).alias("expected"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_percentiles, p7_daily, p8_ids, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p7_percentiles, p7_daily, p8_ids, p9_mix, p9_shares, p10_found, p10_makeup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.core.runtime import map_arrow
+
 #: places of vocabularies unless a query says otherwise; the files are never copied
 TOKENIZER_DIR = "/opt/tokenizers"
 #: the pattern that cuts text into pieces before the merges (fixed value of the vocabulary)
@@ -226,7 +228,7 @@ def token_ids(df: DataFrame, key: str, text: str, path: str = f"{TOKENIZER_DIR}/
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], [key, "ids"])
 
     own = df.select(F.col(key), F.col(text).cast("string").alias("__text"))
-    return own.mapInArrow(run, f"`{key}` {dict(own.dtypes)[key]}, ids array<int>")
+    return map_arrow(own, run, f"`{key}` {dict(own.dtypes)[key]}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keys: list[str], text: str, path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
@@ -239,4 +241,4 @@ def token_counts(df: DataFrame, keys: list[str], text: str, path: str = f"{TOKEN
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), n], [*keys, "n_tokens"])
 
     own = df.select(*keys, F.col(text).cast("string").alias("__text"))
-    return own.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in own.dtypes if k != "__text") + ", n_tokens long")
+    return map_arrow(own, run, ", ".join(f"`{k}` {t}" for k, t in own.dtypes if k != "__text") + ", n_tokens long")
