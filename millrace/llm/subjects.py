@@ -4,10 +4,11 @@
 2. A lexicon is learned: terms whose cues lie mostly in documents of one subject; first from a bounded sample of labelled
    documents, then again from all documents with the subjects that the first lexicon finds in them. Terms of several
    subjects count for the one that the document shows otherwise.
-3. Labelling functions vote on each (document, subject): lexicon (share of the spoken cues), section (thirds of the
-   document in which the share is reached), address (words of web addresses), source (how common the subject is there).
-4. The votes form few patterns. Their counts over all documents give, by expectation maximisation, how each function
-   votes on documents with and without the subject; a document has a subject if its posterior is at least a half.
+3. Labelling functions vote on each (document, subject): lexicon (share of the spoken cues), section (whether several
+   thirds of the document reach the share), address (words of web addresses), source (how common the subject is there).
+4. The votes form few patterns. Where annotators vote too, expectation maximisation learns from the patterns' counts how
+   each function votes on documents with and without a subject, the truth being hidden, as annotators err as well. A
+   document has a subject if its posterior from the functions' votes is at least a half.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from millrace.core.runtime import map_arrow, materialise
 from millrace.llm.subtitles import cues, hosts, spoken_words
 
 #: the share of spoken cues that makes a subject, and where the lexicon function's votes change
-SHARE, BINS = 0.2, (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
+SHARE, BINS = 0.2, (0.05, 0.1, 0.15, 0.2)
 #: at most so many labelled documents are learned from, by the hash of their id
 LABELLED_SAMPLE = 20_000
 #: a term needs so many documents, and belongs to the subject that holds PURE of its weight, or to those that hold PART
@@ -155,7 +156,7 @@ def learn_lexicon(terms: DataFrame, subjects: list[str], pure: float = PURE) ->
 
 
 def lexicon_shares(words: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, source, n_cues, counts: cues about each subject, sections: thirds that reach the share, addressed)."""
+    """(doc_id, source, n_cues, counts: cues about each subject, sections: whether several thirds reach the share, addressed)."""
     kept = words.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the vocabulary of the subjects
     k = len(lexicon.subjects)
 
@@ -169,7 +170,7 @@ def lexicon_shares(words: DataFrame, lexicon: Lexicon) -> DataFrame:
                 reached = ((by >= SHARE * np.maximum(size, 1)[:, None]) & (by > 0)).sum(0)
                 n.append(len(doc))
                 counts.append(by.sum(0).tolist())
-                sections.append(np.where(by.sum(0) < 3, np.minimum(reached, 1), reached).tolist())  # a stray cue or two fill no sections
+                sections.append(((reached > 1) & (by.sum(0) > 2)).astype(int).tolist())  # a stray cue or two fill no sections
                 said = {lex.pure[p] for p in places if p in lex.pure}
                 address.append([int(i in said) for i in range(k)])
             ints = pa.list_(pa.int32())
@@ -181,13 +182,13 @@ def lexicon_shares(words: DataFrame, lexicon: Lexicon) -> DataFrame:
 def votes(shares: DataFrame, subjects: list[str]) -> DataFrame:
     """(doc_id, subject index s, lexicon, section, address, source): the votes of all labelling functions.
 
-    lexicon: number of BINS that the share reaches; section: 0 to 3, or 4 (no vote) under nine cues; address: 1 or 0 (no
-    vote); source: 1 rare there, 2 common there, 0 no vote.
+    lexicon: number of BINS that the share reaches; section: 1 if at least two thirds of the document reach the share,
+    with three cues or more, else 0 (no vote); address: 1 or 0 (no vote); source: 1 rare there, 2 common there, 0 no vote.
     """
     flat = shares.where("n_cues > 0").select("doc_id", "source", "n_cues", F.posexplode(F.arrays_zip("counts", "sections", "addressed")).alias("s", "v"))
     share = F.col("v.counts") / F.col("n_cues")
     bins = sum((share >= b - 1e-9).cast("int") for b in BINS)
-    flat = flat.select("doc_id", "source", "s", bins.alias("lexicon"), F.when(F.col("n_cues") < 9, 4).otherwise(F.col("v.sections")).alias("section"), F.col("v.addressed").alias("address"))
+    flat = flat.select("doc_id", "source", "s", bins.alias("lexicon"), F.col("v.sections").alias("section"), F.col("v.addressed").alias("address"))
     at = (F.col("lexicon") >= BINS.index(SHARE) + 1).cast("double")
     by = flat.groupBy("source", "s").agg(F.avg(at).alias("here"), F.count(F.lit(1)).alias("n"))
     base = flat.groupBy(F.col("s").alias("bs")).agg(F.avg(at).alias("all"))
@@ -196,44 +197,54 @@ def votes(shares: DataFrame, subjects: list[str]) -> DataFrame:
     return flat.join(by, (F.col("source") == F.col("vs")) & (F.col("s") == F.col("vi")), "left").select("doc_id", "s", "lexicon", "section", "address", F.coalesce("vote", F.lit(0)).alias("source"))
 
 
-_KINDS = {"lexicon": len(BINS) + 1, "section": 5, "address": 2, "source": 3}
+_KINDS = {"lexicon": len(BINS) + 1, "section": 2, "address": 2, "source": 3}
 
 
-def learn_accuracies(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 100) -> tuple[float, list[np.ndarray], np.ndarray]:
-    """Expectation maximisation over vote patterns: (prior, P(vote | has it or not) of each function, posterior of each
-    pattern). It starts from the lexicon's vote at the share; functions are taken as independent given the subject."""
-    x = np.array(patterns, int).reshape(len(patterns), len(_KINDS))
+def learn_accuracies(subject: np.ndarray, x: np.ndarray, counts: np.ndarray, k: int, rounds: int = 100) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Expectation maximisation over vote patterns: (prior of each subject, P(vote | has it), P(vote | has it not) of each
+    function). One accuracy a function, shared by all subjects; the hidden truth starts from the lexicon's vote at the
+    share, and functions are taken as independent given it."""
     post = (x[:, 0] >= BINS.index(SHARE) + 1) * 0.98 + 0.01
-    prior, tables = 0.5, []
+    prior, tables = np.full(k, 0.5), []
     for _ in range(rounds):
-        prior = float(np.clip((post @ counts) / max(counts.sum(), 1), 1e-6, 1 - 1e-6))
-        tables, log = [], np.tile(np.log([prior, 1 - prior]), (len(x), 1))
-        for j, size in enumerate(_KINDS.values()):
+        total = np.bincount(subject, counts, k)
+        prior = (np.bincount(subject, post * counts, k) + 0.5) / (total + 1)
+        tables = []
+        for j, size in enumerate((*_KINDS.values(), 3)):
             t = np.stack([np.bincount(x[:, j], w * counts, size) for w in (post, 1 - post)]) + 0.5
-            t /= t.sum(1, keepdims=True)
-            tables.append(t)
-            log += np.log(t[:, x[:, j]]).T
-        new = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -500, 500)))
+            tables.append(t / t.sum(1, keepdims=True))
+        new = _posterior(subject, x, prior, tables)
         settled = np.abs(new - post).max() < 1e-6
         post = new
         if settled:
             break
-    return prior, tables, post
+    return prior, tables
 
 
-def posteriors(votes_: DataFrame, subjects: list[str]) -> DataFrame:
-    """(s, votes, posterior) of every pattern that occurs: at most 210 a subject."""
-    names = list(_KINDS)
-    found = votes_.groupBy("s", *names).count().collect()
-    rows = []
-    for s in range(len(subjects)):
-        own = [r for r in found if r["s"] == s]
-        if own:
-            patterns = [tuple(r[n] for n in names) for r in own]
-            *_, post = learn_accuracies(patterns, np.array([r["count"] for r in own], float))
-            rows += [(s, *p, float(q)) for p, q in zip(patterns, post, strict=True)]
+def _posterior(subject: np.ndarray, x: np.ndarray, prior: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    odds = np.log(prior[subject]) - np.log(1 - prior[subject])
+    for j in range(x.shape[1]):
+        odds = odds + np.log(tables[j][0][x[:, j]]) - np.log(tables[j][1][x[:, j]])
+    return 1 / (1 + np.exp(np.clip(-odds, -500, 500)))
+
+
+def posteriors(voted: DataFrame, weights: DataFrame, subjects: list[str]) -> DataFrame:
+    """(s, votes, posterior) of every pattern that occurs: at most 60 a subject.
+
+    The accuracies are learned where annotators vote too (at most LABELLED_SAMPLE documents), as one function more whose
+    accuracy is learned like the others'; the posteriors hold for all documents and leave the annotators' votes out.
+    """
+    names, k = list(_KINDS), len(subjects)
+    by = weights.select("doc_id", F.posexplode("weights").alias("ws", "w")).select(F.col("doc_id").alias("wd"), "ws", F.when(F.col("w") >= 0.5, 2).otherwise(1).alias("annotator"))
+    taught = voted.join(F.broadcast(by), (F.col("doc_id") == F.col("wd")) & (F.col("s") == F.col("ws"))).groupBy("s", *names, "annotator").count().collect()
+    found = voted.select("s", *names).distinct().collect()
     schema = "ps int, " + ", ".join(f"p_{n} int" for n in names) + ", posterior double"
-    return votes_.sparkSession.createDataFrame(rows, schema)
+    rows = []
+    if taught and found:
+        prior, tables = learn_accuracies(np.array([r["s"] for r in taught]), np.array([r[1:-1] for r in taught]), np.array([r[-1] for r in taught], float), k)
+        post = _posterior(np.array([r[0] for r in found]), np.array([r[1:] for r in found]), prior, tables[: len(names)])
+        rows = [(*r, float(q)) for r, q in zip(found, post, strict=True)]
+    return voted.sparkSession.createDataFrame(rows, schema)
 
 
 def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -244,13 +255,14 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     """
     names = sorted({r[0] for r in subjects.select("subject").where("subject IS NOT NULL").collect()})
     words = materialise(document_words(documents))
-    taught = words.join(F.broadcast(label_weights(labels, names)), "doc_id")
+    weights = materialise(label_weights(labels, names))
+    taught = words.join(F.broadcast(weights), "doc_id")
     first = learn_lexicon(term_weights(taught, len(names)), names, PURE - 0.1)
     # all documents teach, each by the subjects that the first lexicon finds in it
     every = _with_weights(words, first)
     lexicon = learn_lexicon(term_weights(every, len(names)), names)
     voted = materialise(votes(materialise(lexicon_shares(words, lexicon)), names))
-    post = posteriors(voted, names)
+    post = posteriors(voted, weights, names)
     same = (F.col("s") == F.col("ps")) & (F.col("lexicon") == F.col("p_lexicon")) & (F.col("section") == F.col("p_section")) & (F.col("address") == F.col("p_address")) & (F.col("source") == F.col("p_source"))
     name = F.element_at(F.array(*map(F.lit, names)), F.col("s") + 1)
     return voted.join(F.broadcast(post), same).where(F.col("posterior") >= least).select("doc_id", name.alias("subject"), "posterior")
