@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: white space that a Java trim takes away (fixed value)
 _LOW = r"[\x00-\x20]"
+#: white space that a Java strip takes away: all but the non-breaking spaces (fixed value)
+_SPACE = r"[\t-\r\x1c-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
 
 
 def number(c: Column) -> Column:
@@ -33,9 +35,9 @@ def string_operation(c: Column, operation: str) -> Column:
     """trim, ltrim, rtrim, upper, lower, initcap; anything else trims. Null stays null."""
     match operation:
         case "ltrim":
-            return F.regexp_replace(c, r"\A\s+", "")
+            return F.regexp_replace(c, rf"\A{_SPACE}+", "")
         case "rtrim":
-            return F.regexp_replace(c, r"\s+\z", "")
+            return F.regexp_replace(c, rf"{_SPACE}+\z", "")
         case "upper":
             return F.upper(c)
         case "lower":

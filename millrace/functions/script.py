@@ -22,6 +22,9 @@ class Undefined:
     def __repr__(self):
         return "undefined"
 
+    def __reduce__(self):
+        return "UNDEFINED"  # the one there is, in every process
+
 
 UNDEFINED = Undefined()
 

@@ -120,10 +120,35 @@ def table_output(ins: list[Frame], p: Params, c: Context) -> Frame:
         columns = db.columns(table)
         if p.flag("truncateFirst", False):
             db.run(f"DELETE FROM {table}")
-    f.df.select(*[f.col(i).alias(n) for i, n in enumerate(columns)]).write.format("jdbc").options(**_options(p)).option("dbtable", table).option("batchsize", p.integer("batchSize", 1000)).mode("append").save()
+    _write(f.df.select(*[f.col(i).alias(n) for i, n in enumerate(columns)]), table, p, c)
     return f
 
 
+def _write(df, table: str, p: Params, c: Context) -> None:
+    """Append rows in parallel. Spark's dialect for Derby sends null texts as CLOB, which its VARCHAR columns refuse, and
+    its databases live in the driver anyway; there the driver inserts in batches."""
+    if "derby" not in url_of(p):
+        df.write.format("jdbc").options(**_options(p)).option("dbtable", table).option("batchsize", p.integer("batchSize", 1000)).mode("append").save()
+        return
+    with _Connection(p, c) as db:
+        s = db.own.prepareStatement(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ({', '.join('?' * len(df.columns))})")
+        _batched(s, df.select(*[F.col(x).cast("string") for x in df.columns]), p.integer("batchSize", 1000))
+
+
+def _batched(s, df, size: int) -> None:
+    n = 0
+    for row in df.toLocalIterator():
+        for k, v in enumerate(row):
+            s.setString(k + 1, v)
+        s.addBatch()
+        n += 1
+        if n % size == 0:
+            s.executeBatch()
+    if n % size:
+        s.executeBatch()
+    s.close()
+
+
 def _staged(f: Frame, p: Params, c: Context, columns: list[str], keys: list[str]):
     """The last row of each key, written to a staging table like the target."""
     g = f.positioned()
@@ -132,7 +157,7 @@ def _staged(f: Frame, p: Params, c: Context, columns: list[str], keys: list[str]
     stage = "MR_" + uuid.uuid4().hex[:16].upper()
     with _Connection(p, c) as db:
         db.run(f"CREATE TABLE {stage} AS SELECT {', '.join(columns)} FROM {p['tableName']} WITH NO DATA" if "derby" in url_of(p) else f"CREATE TABLE {stage} AS SELECT {', '.join(columns)} FROM {p['tableName']} WHERE 1 = 0")
-    last.write.format("jdbc").options(**_options(p)).option("dbtable", stage).mode("append").save()
+    _write(last, stage, p, c)
     return stage
 
 
@@ -173,16 +198,11 @@ def exec_sql(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     fields = [f.index(x) for x in p.items_of("paramFields")]
     with _Connection(p, c) as db:
+        rows = f.sorted().select(*[f.col(i).cast("string").alias(f"p{k}") for k, i in enumerate(fields)] or [F.lit(None).cast("string")])
         s = db.own.prepareStatement(p.required("sql"))
-        n = 0
-        for row in f.sorted().select(*[f.col(i).cast("string") for i in fields] or [F.lit(0)]).toLocalIterator():
-            for k in range(len(fields)):
-                s.setString(k + 1, row[k])
-            s.addBatch()
-            n += 1
-            if n % 1000 == 0:
-                s.executeBatch()
-        if n % 1000:
-            s.executeBatch()
-        s.close()
+        if fields:
+            _batched(s, rows, 1000)
+        else:
+            for _ in rows.toLocalIterator():
+                s.executeUpdate()
     return f
