@@ -202,7 +202,7 @@ def version_changes(versions: DataFrame, partitions: int | None = None) -> DataF
     Versions are ordered by created_at (null first), then id. They are range partitioned by (feed, time), so a feed with
     very many versions spans partitions; the neighbours at borders are compared from two rows a partition.
     """
-    keyed = versions.select(F.concat_ws("|", F.coalesce("project_id", F.lit("")), F.coalesce("feed", F.lit(""))).alias("feed_key"), "created_at", "id", "names", "types")
+    keyed = versions.select(F.concat_ws("|", F.length("project_id").cast("string"), "project_id", F.lit("/"), "feed").alias("feed_key"), "created_at", "id", "names", "types")
     found = sorted_scan(keyed, ["feed_key", "created_at", "id"], _scan, _CHANGES, partitions)
     border = map_arrow(found.where("kind IN ('head', 'tail')").repartition(1), _stitch, _CHANGES)
     out = ["kind", "feed_key", "file_id", "field_name", "old_name", "old_type", "new_type"]

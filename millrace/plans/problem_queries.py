@@ -46,7 +46,7 @@ def _nested(kind: str):
 
 
 def _order_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return badrows.split_lines(table(spark, d, "raw_order_lines").where("line_no > 1"), "raw_line", ORDER_FIELDS)
+    return badrows.split_lines(table(spark, d, "raw_order_lines").where("NOT line_no <=> 1"), "raw_line", ORDER_FIELDS)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,7 @@ a AS (SELECT project_id, 'period' part_kind, f, t FROM p UNION ALL SELECT projec
 """
 _F = r'"(?:[^"]|"")*"|[^",]*'
 _P3 = rf"""
-WITH r AS (SELECT raw_id, regexp_replace(coalesce(raw_line, ''), '\r$', '') l FROM raw_order_lines WHERE line_no > 1),
+WITH r AS (SELECT raw_id, regexp_replace(coalesce(raw_line, ''), '\r$', '') l FROM raw_order_lines WHERE line_no IS DISTINCT FROM 1),
 q AS (SELECT raw_id, l, regexp_full_match(l, '(?s)(?:{_F})(?:,(?:{_F}))*') ok, regexp_full_match(l, '(?s)(?:{_F})(?:,(?:{_F})){{5}}') six,
   [CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE trim(x, chr(32) || chr(9)) END FOR x IN
    [{', '.join(f"regexp_extract(l, '(?s)^({_F}),({_F}),({_F}),({_F}),({_F}),({_F})$', {i})" for i in range(1, 7))}]] v FROM r),
