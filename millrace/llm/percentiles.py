@@ -25,7 +25,8 @@ def value_states(df: DataFrame, groups: list[str], value: str, once: list[str] |
     """Mergeable states: (groups, [day], value long, n).
 
     Null and negative values are left out. With `once`, rows that share groups and these columns count once, with their
-    least value and, if `day` is named, on their earliest day. A null group is a group. Empty input: no state.
+    least value and, if `day` is named, on their earliest day. A null group is a group, and a null in
+    `once` a value like others. Empty input: no state.
     """
     v = F.col(value).cast("long")
     own = df.where(v >= 0)

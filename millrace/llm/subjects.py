@@ -28,9 +28,10 @@ from millrace.llm.subtitles import cues, hosts, spoken_words
 SHARE, BINS = 0.2, (0.05, 0.1, 0.15, 0.2)
 #: at most so many labelled documents are learned from, by the hash of their id
 LABELLED_SAMPLE = 20_000
-#: a term needs so many documents, and belongs to the subject that holds PURE of its weight, or to those that hold PART
-#: each and FEW together
-LEAST_DOCS, PURE, PART, FEW = 3, 0.6, 0.25, 0.7
+#: a term needs LEAST_DOCS documents and LEAST_SHARE of all; the share bounds the number of terms, whatever the corpus
+LEAST_DOCS, LEAST_SHARE = 3, 5e-5
+#: a term to the subject that holds PURE of its weight, or to those that hold PART each and FEW together
+PURE, PART, FEW = 0.6, 0.25, 0.7
 #: source votes: how much more or less common than everywhere, and from how many documents on
 _LIFT, _SOURCE_DOCS = 1.5, 20
 _WORDS = "doc_id long, source string, cues array<string>, hosts array<string>"
@@ -98,7 +99,7 @@ def label_weights(labels: DataFrame, subjects: list[str], sample: int = LABELLED
     return by.select(F.col("doc_id").cast("long").alias("doc_id"), weights.alias("weights")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
 
 
-def term_weights(weighted: DataFrame, k: int) -> DataFrame:
+def term_weights(weighted: DataFrame, k: int, least: int = LEAST_DOCS) -> DataFrame:
     """(term, docs, cues, weights) from (cues, weights); each worker adds up its partition before the shuffle."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +135,12 @@ def term_weights(weighted: DataFrame, k: int) -> DataFrame:
 
     parts = map_arrow(weighted.select("cues", "weights"), count, "term string, docs long, cues long, weights array<double>")
     merged = parts.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("cues").alias("cues"), *[F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(k)])
-    return merged.where(F.col("docs") >= LEAST_DOCS)
+    return merged.where(F.col("docs") >= least)
 
 
 def learn_lexicon(terms: DataFrame, subjects: list[str], pure: float = PURE) -> Lexicon:
-    """Terms that belong to one subject, or to few. Only terms that pass come to the driver: the words of a language's
-    subjects, whose number doesn't grow with the corpus beyond its vocabulary."""
+    """Terms that belong to one subject, or to few. Only terms that pass come to the driver. As each is in LEAST_SHARE of
+    the documents, there are at most (distinct terms of a mean document) / LEAST_SHARE of them."""
     k = len(subjects)
     # a lower bound of the share, so that rare terms need purer evidence
     share = lambda i: (F.col(f"w{i}") - F.sqrt(F.col(f"w{i}") * F.greatest(1 - F.col(f"w{i}") / F.col("cues"), F.lit(0.0)))) / (F.col("cues") + 1)
@@ -157,7 +158,7 @@ def learn_lexicon(terms: DataFrame, subjects: list[str], pure: float = PURE) ->
 
 def lexicon_shares(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, source, n_cues, counts: cues about each subject, sections: whether several thirds reach the share, addressed)."""
-    kept = words.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the vocabulary of the subjects
+    kept = words.sparkSession.sparkContext.broadcast(lexicon)  # bounded by LEAST_SHARE
     k = len(lexicon.subjects)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +261,8 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     first = learn_lexicon(term_weights(taught, len(names)), names, PURE - 0.1)
     # all documents teach, each by the subjects that the first lexicon finds in it
     every = _with_weights(words, first)
-    lexicon = learn_lexicon(term_weights(every, len(names)), names)
+    least = max(LEAST_DOCS, -int(-LEAST_SHARE * words.count() // 1))
+    lexicon = learn_lexicon(term_weights(every, len(names), least), names)
     voted = materialise(votes(materialise(lexicon_shares(words, lexicon)), names))
     post = posteriors(voted, weights, names)
     same = (F.col("s") == F.col("ps")) & (F.col("lexicon") == F.col("p_lexicon")) & (F.col("section") == F.col("p_section")) & (F.col("address") == F.col("p_address")) & (F.col("source") == F.col("p_source"))
