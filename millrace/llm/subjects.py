@@ -261,8 +261,8 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     first = learn_lexicon(term_weights(taught, len(names)), names, PURE - 0.1)
     # all documents teach, each by the subjects that the first lexicon finds in it
     every = _with_weights(words, first)
-    least = max(LEAST_DOCS, -int(-LEAST_SHARE * words.count() // 1))
-    lexicon = learn_lexicon(term_weights(every, len(names), least), names)
+    support = max(LEAST_DOCS, -int(-LEAST_SHARE * words.count() // 1))
+    lexicon = learn_lexicon(term_weights(every, len(names), support), names)
     voted = materialise(votes(materialise(lexicon_shares(words, lexicon)), names))
     post = posteriors(voted, weights, names)
     same = (F.col("s") == F.col("ps")) & (F.col("lexicon") == F.col("p_lexicon")) & (F.col("section") == F.col("p_section")) & (F.col("address") == F.col("p_address")) & (F.col("source") == F.col("p_source"))
