@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core.runtime import shuffle_partitions
+from millrace.core.runtime import materialise, shuffle_partitions
 
 
 def skewed_aggregate(df: DataFrame, keys: list[str], order: list[str], aggregates: list[Column], partitions: int | None = None) -> DataFrame:
@@ -40,6 +40,7 @@ def key_totals(df: DataFrame, fields: list[str], order: str, quantity: str, pric
 
 def heavy_keys(totals: DataFrame, share: float) -> DataFrame:
     """The keys of `key_totals` that hold at least `share` of all rows; rows with a null key count in the total."""
+    totals = materialise(totals)  # read twice below
     # at most one row for each field, then at most 1/share rows for each
     all_rows = totals.groupBy("field_name").agg(F.sum("n_rows").alias("__all"))
     found = totals.join(F.broadcast(all_rows), "field_name").where((F.col("n_rows") >= F.lit(share) * F.col("__all")) & F.col("key_value").isNotNull())
