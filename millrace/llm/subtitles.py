@@ -9,18 +9,25 @@ from functools import lru_cache
 _TIMING = re.compile(r"--\s?>|—>|-->|–>")
 _TAGS = re.compile(r"<[^>]*>|\{\\[^}]*\}")
 _SOUND = re.compile(r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|\*[^*]*\*|♪[^♪]*♪?|#[^#]*#")
+_MARKS = re.compile(r"[<\[({*♪#]")
 _SPEAKER = re.compile(r"^\s*(?:>>\s*)?[-–]?\s*(?:[^\W\d_]{2,}(?: [^\W\d_]{2,})?:(?=\s))?")
-_HOST = re.compile(r"(?:https?://)?(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/\S*)?", re.I)
+#: the end of a web address; what it starts with is looked up backwards, so that most dots cost one comparison
+_DOMAIN = re.compile(r"\.[a-z]{2,}\b")
+_BEFORE = re.compile(r"[\w.-]*\Z")
 #: marks of adverts and credits (fixed values)
 _CREDITS = re.compile(r"subtit|untertitel|sous-titre|subtítul|synced|corrected by|vip member|support us|first recipe free|rate this|download", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
 #: what character recognition confuses is written alike (fixed values)
-_FOLD = str.maketrans({"l": "i", "1": "i", "|": "i", "0": "o", "5": "s", "e": "c", "ß": "s", "æ": "a", "œ": "o", "ø": "o"})
+_FOLD = str.maketrans({"l": "i", "1": "i", "|": "i", "0": "o", "5": "s", "e": "c"})
+#: letters that don't decompose (fixed values)
+_PLAIN = str.maketrans({"ß": "s", "æ": "a", "œ": "o", "ø": "o"})
 
 
 @lru_cache(1 << 17)
 def folded(word: str) -> str:
-    w = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+    w = word.lower()
+    if not w.isascii():  # accents go, and so do other scripts, of which no word is kept
+        w = unicodedata.normalize("NFKD", w.translate(_PLAIN)).encode("ascii", "ignore").decode()
     w = w.replace("rn", "m").replace("cl", "d").replace("vv", "w").translate(_FOLD)
     return " ".join(_WORD.findall(w))
 
@@ -39,10 +46,12 @@ def repaired(text: str) -> str:
 @lru_cache(1 << 16)
 def spoken_words(body: str) -> str | None:
     """Folded words of one cue's text; None for sound descriptions, adverts and empty cues."""
-    if _CREDITS.search(body) or ("." in body and any(_HOST.fullmatch(x.strip(",;:!?()")) and not x.endswith(".") for x in body.split())):
+    if _CREDITS.search(body) or hosts(body):
         return None
-    lines = [_SPEAKER.sub("", _SOUND.sub(" ", _TAGS.sub("", x))) for x in body.split("\n")]
-    words = folded(" ".join(lines))
+    lines = body.split("\n")
+    if _MARKS.search(body):
+        lines = [_SOUND.sub(" ", _TAGS.sub("", x)) for x in lines]
+    words = folded(" ".join([_SPEAKER.sub("", x) for x in lines]))
     return words or None
 
 
@@ -70,7 +79,8 @@ def cues(text: str | None) -> list[str]:
 def hosts(text: str | None) -> set[str]:
     """Folded words of the web addresses in a text."""
     found = set()
-    if text and "." in text:
-        for m in re.finditer(r"\b(?:www\.|https?://)?[\w-]+\.(?:[a-z]{2,})\b", text):
-            found.update(folded(re.sub(r"[\W\d_]+", " ", m[0])).split())
+    for m in _DOMAIN.finditer(text or ""):
+        start = _BEFORE.search(text, max(0, m.start() - 100), m.start()).start()
+        if start < m.start() and text[m.start() - 1] != ".":
+            found.update(folded(re.sub(r"[\W\d_]+", " ", text[start : m.end()])).split())
     return found
