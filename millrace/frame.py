@@ -11,8 +11,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from millrace.core.runtime import materialise, shuffle_partitions
+from millrace.functions.scalar import number
 
 #: rows that one window task looks at when neighbours are compared
 BLOCK = 1 << 18
@@ -65,6 +67,14 @@ class Frame:
         i = self.index(field)
         return F.col(f"c{i}") if 0 <= i < self.width else F.lit(None).cast("string")
 
+    def is_numeric(self, field: int | str) -> bool:
+        i = self.index(field)
+        return 0 <= i < self.width and isinstance(self.df.schema[f"c{i}"].dataType, NumericType)
+
+    def number(self, field: int | str) -> Column:
+        """The field as a double, null where it is none; a numeric column is not taken through text."""
+        return self.col(field).cast("double") if self.is_numeric(field) else number(self.col(field))
+
     def fields(self) -> list[Column]:
         return [F.col(f"c{i}") for i in range(self.width)]
 

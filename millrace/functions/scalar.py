@@ -47,22 +47,25 @@ def string_operation(c: Column, operation: str) -> Column:
     return java_trim(c)
 
 
-def compare(c: Column, operator: str, value: str | None) -> Column:
-    """A filter's condition; a null field never passes, an unknown operator is equality."""
+def compare(c: Column, operator: str, value: str | None, numeric: Column | None = None) -> Column:
+    """A filter's condition, null or false where it doesn't pass; a null field never passes, an unknown operator is
+    equality. `numeric` is the field as a number if its column is numeric: such comparisons reach the scan."""
     op = operator.upper()
     s = c.cast("string")
     v = F.lit(value)
     if op in ("NEQ", "<>", "!="):
-        got = ~s.eqNullSafe(v)
+        got = s != v if value is not None else c.isNotNull()
     elif op in ("CONTAINS", "STARTS_WITH", "ENDS_WITH"):
         got = {"CONTAINS": s.contains, "STARTS_WITH": s.startswith, "ENDS_WITH": s.endswith}[op](F.lit(value or ""))
     elif op in ("GT", "LT", "GTE", "LTE", "GE", "LE", "GREATER_EQUAL", "LESS_EQUAL"):
         of = {"GT": Column.__gt__, "LT": Column.__lt__, "GTE": Column.__ge__, "GE": Column.__ge__, "GREATER_EQUAL": Column.__ge__}.get(op, Column.__le__)
+        if numeric is not None and re.fullmatch(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*", value or "0"):
+            return of(numeric, F.lit(float(value or "0")))
         a, b = number(c), F.trim(F.lit("0" if value is None else value)).try_cast("double")
         got = F.when(a.isNotNull() & b.isNotNull(), of(a, b)).otherwise(of(s, F.lit(value or "")))
     else:
-        got = s.eqNullSafe(v)
-    return c.isNotNull() & F.coalesce(got, F.lit(False))
+        got = s == v
+    return c.isNotNull() & got
 
 
 def calculate(a: Column, b: Column, operation: str) -> Column:
@@ -103,9 +106,8 @@ def checksum(columns: list[Column], algorithm: str) -> Column:
     return F.lit(None).cast("string")
 
 
-def aggregate(c: Column, function: str, position: Column, unknown: Column) -> Column:
-    """COUNT counts rows; SUM, MIN, MAX and AVG take what parses as a number; FIRST and LAST go by position."""
-    n = number(c)
+def aggregate(c: Column, n: Column, function: str, position: Column, unknown: Column) -> Column:
+    """COUNT counts rows; SUM, MIN, MAX and AVG take n, the field as a number; FIRST and LAST go by position."""
     match function.upper():
         case "COUNT":
             return F.count(F.lit(1))

@@ -101,7 +101,7 @@ def _aggregates(f: Frame, p: Params, unknown) -> tuple[list[int], list, list[str
     groups = [f.index(x) for x in p.items_of("groupColumns")]
     columns = [f.index(x) for x in p.items_of("aggColumns")]
     functions = p.items_of("aggFunctions")
-    out = [scalar.aggregate(f.col(i), functions[k] if k < len(functions) else "COUNT", F.col(POS if POS in f.df.columns else f.order[0].column), unknown) for k, i in enumerate(columns)]
+    out = [scalar.aggregate(f.col(i), f.number(i), functions[k] if k < len(functions) else "COUNT", F.col(POS if POS in f.df.columns else f.order[0].column), unknown) for k, i in enumerate(columns)]
     names = p.items_of("aggNames")
     names = names if len(names) == len(out) else [f"{(functions[k] if k < len(functions) else 'COUNT').lower()}_{f.names[i]}" for k, i in enumerate(columns)]
     return groups, [scalar.shown(a, f.text) for a in out], names

@@ -161,8 +161,8 @@ def null_if(ins: list[Frame], p: Params, c: Context) -> Frame:
 @step("Calculator")
 def calculator(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
-    a = scalar.number(f.col(p.required("colA")))
-    b = scalar.number(f.col(p["colB"])) if p.text("colB") else F.lit(p.text("valueB", "0")).try_cast("double")
+    a = f.number(p.required("colA"))
+    b = f.number(p["colB"]) if p.text("colB") else F.lit(p.text("valueB", "0")).try_cast("double")
     return f.append(scalar.shown(scalar.calculate(a, b, p.text("operation", "ADD")), f.text), names=_names(f, p, 1, "fieldName"))
 
 
@@ -209,7 +209,7 @@ def validator(ins: list[Frame], p: Params, c: Context) -> Frame:
 def number_range(ins: list[Frame], p: Params, c: Context) -> Frame:
     """The label of the first range that holds the number, both ends included."""
     f = ins[0]
-    n, got = scalar.number(f.col(p.required("column"))), F.lit(p.text("defaultLabel", ""))
+    n, got = f.number(p.required("column")), F.lit(p.text("defaultLabel", ""))
     for low, high, label in reversed(list(zip(p.indexed("lowerBound"), p.indexed("upperBound"), p.indexed("label"), strict=False))):
         got = F.when(n.between(F.lit(float(low)), F.lit(float(high))), F.lit(label)).otherwise(got)
     return f.append(got, names=_names(f, p, 1))

@@ -19,11 +19,13 @@ def filter_rows(ins: list[Frame], p: Params, c: Context) -> dict[str, Frame]:
         column = f.index(column)
     except ValueError:
         column = 0
-    passes = compare(f.col(column), p.text("operator", "EQ"), p.text("value"))
+    numeric = f.number(column) if f.is_numeric(column) else None
+    passes = compare(f.col(column), p.text("operator", "EQ"), p.text("value"), numeric)
+    fails = ~F.coalesce(passes, F.lit(False))
     yes, no = p.text("trueStep"), p.text("falseStep")
     if yes and yes == no:
         return {yes: f}
-    return {t: f.where(w) for t, w in ((yes, passes), (no, ~passes)) if t}
+    return {t: f.where(w) for t, w in ((yes, passes), (no, fails)) if t}
 
 
 @step("SwitchCase", router=True)
