@@ -25,6 +25,7 @@ POS = "__pos"
 class Order:
     column: str
     descending: bool = False
+    source: int | None = None  # the field it is a copy of, as long as fields keep their places
 
     def key(self) -> Column:
         return F.col(self.column).desc_nulls_first() if self.descending else F.col(self.column).asc_nulls_last()
@@ -83,7 +84,8 @@ class Frame:
 
     def put(self, columns: list[Column], names: list[str] | tuple[str, ...]) -> Frame:
         """The frame with these fields instead; order columns stay."""
-        return replace(self, df=self.df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], *self.keep()), names=tuple(names))
+        df = self.df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], *self.keep())
+        return replace(self, df=df, names=tuple(names), order=tuple(replace(o, source=None) for o in self.order))
 
     def set(self, i: int, column: Column) -> Frame:
         return self.put([column if k == i else c for k, c in enumerate(self.fields())], self.names)
@@ -102,8 +104,8 @@ class Frame:
         more = width - self.width
         return self if more <= 0 else self.append(*[F.lit(None).cast("string")] * more)
 
-    def with_order(self, keys: list[tuple[Column, bool]], before: tuple[Order, ...] | None = None) -> Frame:
-        """The same rows ordered by these keys, ties as they were."""
+    def with_order(self, keys: list[tuple[Column, bool]], before: tuple[Order, ...] | None = None, sources: list[int] | None = None) -> Frame:
+        """The same rows ordered by these keys, ties as they were; `sources`: the fields that the keys are."""
         old = self.order if before is None else before
         taken = {o.column for o in old}
         names: list[str] = []
@@ -113,7 +115,7 @@ class Frame:
                 names.append(f"__o{n}")
             n += 1
         df = self.df.select(*self.fields(), *dict.fromkeys(o.column for o in old), *[k.alias(x) for (k, _), x in zip(keys, names, strict=True)])
-        return replace(self, df=df, order=tuple(Order(x, d) for (_, d), x in zip(keys, names, strict=True)) + tuple(old), total=None)
+        return replace(self, df=df, order=tuple(Order(x, d, s) for (_, d), x, s in zip(keys, names, sources or [None] * len(keys), strict=True)) + tuple(old), total=None)
 
     def sorted(self) -> DataFrame:
         return self.df.orderBy(*[o.key() for o in self.order]) if self.order else self.df

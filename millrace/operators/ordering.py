@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.frame import POS, Frame, concat_orders, running_sum
+from millrace.frame import POS, Frame, Order, concat_orders, running_sum
 from millrace.functions import scalar
 from millrace.registry import Context, Params, step
 
@@ -22,7 +22,7 @@ def sort_rows(ins: list[Frame], p: Params, c: Context) -> Frame:
     if any(not 0 <= i < f.width for i in at):
         raise ValueError("a sort column is out of range")
     up = p.items_of("ascending")
-    return f.with_order([(f.col(i), len(up) > k and up[k].lower() == "false") for k, i in enumerate(at)])
+    return f.with_order([(f.col(i), len(up) > k and up[k].lower() == "false") for k, i in enumerate(at)], sources=at)
 
 
 @step("SortedMerge")
@@ -109,8 +109,17 @@ def _aggregates(f: Frame, p: Params, unknown) -> tuple[list[int], list, list[str
 
 @step("GroupBy")
 def group_by(ins: list[Frame], p: Params, c: Context) -> Frame:
-    """A row for each run of equal keys, in order. An unknown function counts; an empty input gives no row."""
+    """A row for each run of equal keys, in order. An unknown function counts; an empty input gives no row.
+
+    After a sort by the same fields each run is a group: it is aggregated as such, without numbering the rows."""
     f = ins[0]
+    at = [f.index(x) for x in p.items_of("groupColumns")]
+    sort = f.order[: len(at)]
+    if at and {o.source for o in sort} == set(at) and not {"FIRST", "LAST"} & {x.upper() for x in p.items_of("aggFunctions")}:
+        groups, aggs, names = _aggregates(f, p, F.count(F.lit(1)))
+        df = f.df.groupBy(*[F.col(f"c{i}").alias(f"__g{k}") for k, i in enumerate(groups)]).agg(*[a.alias(f"__a{k}") for k, a in enumerate(aggs)] or [F.count(F.lit(1)).alias("__n")])
+        df = df.select("*", *[F.col(f"__g{groups.index(o.source)}").alias(f"__o{k}") for k, o in enumerate(sort)])
+        return _grouped(df, f, groups, names, tuple(Order(f"__o{k}", o.descending) for k, o in enumerate(sort)))
     g = _changed(f, [f.index(x) for x in p.items_of("groupColumns")])
     g = Frame(running_sum(g.df, "__new", "__run"), g.names, g.order, g.text, g.total)
     groups, aggs, names = _aggregates(g, p, F.count(F.lit(1)))
@@ -131,18 +140,14 @@ def memory_group_by(ins: list[Frame], p: Params, c: Context) -> Frame:
     return _grouped(df.where("__n > 0"), f, groups, names)
 
 
-def _grouped(df, f: Frame, groups: list[int], names: list[str]) -> Frame:
-    from millrace.frame import Order
-
+def _grouped(df, f: Frame, groups: list[int], names: list[str], order: tuple[Order, ...] = (Order("__o0"),)) -> Frame:
     columns = [F.col(f"__g{k}") for k in range(len(groups))] + [F.col(f"__a{k}") for k in range(len(names))]
-    return Frame(df, (), (Order("__o0"),), f.text).put(columns, [*[f.names[i] for i in groups], *names])
+    return Frame(df, (), order, f.text).put(columns, [*[f.names[i] for i in groups], *names])
 
 
 @step("Denormaliser")
 def denormaliser(ins: list[Frame], p: Params, c: Context) -> Frame:
     """A field for each pivot value; the last value of a key wins, absent ones are null, other pivot values count not."""
-    from millrace.frame import Order
-
     f = ins[0]
     if len(f.order) != 1 or f.order[0].descending:
         f = f.positioned()
@@ -172,6 +177,4 @@ def normaliser(ins: list[Frame], p: Params, c: Context) -> Frame:
     columns = [f.col(i) for i in keys] + [F.col("__e.n"), F.col("__e.v")]
     order = [*[(F.col(o.column), o.descending) for o in f.order], (F.col("__ek"), False)]
     df = g.df.select(*[x.alias(f"c{k}") for k, x in enumerate(columns)], *[x.alias(f"__o{k}") for k, (x, _) in enumerate(order)])
-    from millrace.frame import Order
-
     return Frame(df, (*[f.names[i] for i in keys], *(p.items_of("names") or ["name", "value"])), tuple(Order(f"__o{k}", d) for k, (_, d) in enumerate(order)), f.text)

@@ -174,6 +174,14 @@ def _diff(spark, d):
     return _step(spark, "MergeRows", [old, new], keyColumns="0").to_df()
 
 
+@_query("group_by_sorted", "SELECT l_returnflag || '/' || l_linenumber AS k, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1")
+def _sorted_groups(spark, d):
+    """The usual pair of steps: a sort, then groups of neighbours."""
+    f = _step(spark, "ConcatFields", _frame(spark, d, "lineitem", "l_returnflag l_linenumber l_quantity"), columns="0,1", separator="/")
+    f = _step(spark, "SortRows", f, columns="3")
+    return _step(spark, "GroupBy", f, groupColumns="3", aggColumns="2,2", aggFunctions="COUNT,SUM", aggNames="n,q").to_df(["k", "n", "q"])
+
+
 def _ranked(f: Frame, names: list[str]) -> DataFrame:
     g = f.positioned()
     return g.df.select(*[c.alias(n) for c, n in zip(g.fields(), names, strict=True)], (F.col("__pos") + 1).alias("rn"))

@@ -134,6 +134,17 @@ def test_positions_over_many_blocks(spark, monkeypatch):
     assert [r[1] for r in run(spark, "GroupBy", [data], {"groupColumns": "0", "aggColumns": "0", "aggFunctions": "COUNT"})] == ["3"] * 16 + ["2"]
 
 
+def test_groups_of_sorted_rows(spark):
+    data = [("b", "x", "1"), ("a", "y", "2"), (None, "x", "3"), ("b", "x", "4"), ("b", "w", "5")]
+    f = STEPS["SortRows"]([frame(spark, data)], Params({"columns": "0,1", "ascending": "false,true"}), Context(spark))
+    for functions in ("COUNT,SUM", "COUNT,LAST"):  # the second needs positions
+        p = {"groupColumns": "1,0", "aggColumns": "2,2", "aggFunctions": functions}
+        last = {"COUNT,SUM": ["3.0", "5.0", "5.0", "2.0"], "COUNT,LAST": ["3", "5", "4", "2"]}[functions]
+        assert run(spark, "GroupBy", [f], p) == [("x", None, "1", last[0]), ("w", "b", "1", last[1]), ("x", "b", "2", last[2]), ("y", "a", "1", last[3])]
+    g = STEPS["SelectValues"]([f], Params({"columns": "1,0,2"}), Context(spark))
+    assert len(run(spark, "GroupBy", [g], {"groupColumns": "0", "aggColumns": "2", "aggFunctions": "SUM"})) == 4  # runs, not groups
+
+
 def test_bad_parameters(spark):
     with pytest.raises(ValueError):
         run(spark, "MergeJoin", [AB, AB], {})
