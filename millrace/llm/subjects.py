@@ -236,8 +236,8 @@ def posteriors(voted: DataFrame, weights: DataFrame, subjects: list[str]) -> Dat
     accuracy is learned like the others'; the posteriors hold for all documents and leave the annotators' votes out.
     """
     names, k = list(_KINDS), len(subjects)
-    by = weights.select("doc_id", F.posexplode("weights").alias("ws", "w")).select(F.col("doc_id").alias("wd"), "ws", F.when(F.col("w") >= 0.5, 2).otherwise(1).alias("annotator"))
-    taught = voted.join(F.broadcast(by), (F.col("doc_id") == F.col("wd")) & (F.col("s") == F.col("ws"))).groupBy("s", *names, "annotator").count().collect()
+    taught = voted.join(F.broadcast(weights), "doc_id").withColumn("annotator", F.when(F.get("weights", F.col("s")) >= 0.5, 2).otherwise(1))
+    taught = taught.groupBy("s", *names, "annotator").count().collect()
     found = voted.select("s", *names).distinct().collect()
     schema = "ps int, " + ", ".join(f"p_{n} int" for n in names) + ", posterior double"
     rows = []
