@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,8 @@ class Lexicon:
 
     def counts(self, doc: list[str], memory: dict) -> np.ndarray:
         """Cues about each subject, in each third of the document: an array of 3 x subjects."""
-        out = np.zeros((3, len(self.subjects)), np.int32)
         found = []
-        for c in doc:
+        for i, c in enumerate(doc):
             if (hit := memory.get(c)) is None:
                 own, other = set(), []
                 for t in (*c.split(), "=" + c):
@@ -55,25 +55,26 @@ class Lexicon:
                         own.add(self.pure[t])
                     elif t in self.mixed:
                         other.append(self.mixed[t])
-                hit = (tuple(own), tuple(other))
                 if len(memory) > 300_000:
                     memory.clear()
-                memory[c] = hit
-            found.append(hit)
-        total = np.zeros(len(self.subjects), np.int64)
-        for own, _ in found:
+                hit = memory[c] = (tuple(own), tuple(other)) if own or other else ()
+            if hit:
+                found.append((i, *hit))
+        total = [0] * len(self.subjects)
+        for _, own, _ in found:
             for s in own:
                 total[s] += 1
+        out = [[0] * len(self.subjects) for _ in range(3)]
         n = len(doc)
-        for i, (own, other) in enumerate(found):
-            about = set(own)
+        for i, own, other in found:
+            about = own
             for options in other:
-                best = max(options, key=lambda s: total[s])
-                if total[best]:
-                    about.add(best)
+                best = max(options, key=total.__getitem__)
+                if total[best] and best not in about:
+                    about = (*about, best)
             for s in about:
-                out[i * 3 // n, s] += 1
-        return out
+                out[i * 3 // n][s] += 1
+        return np.array(out, np.int32)
 
 
 def document_words(documents: DataFrame) -> DataFrame:
@@ -104,7 +105,8 @@ def term_weights(weighted: DataFrame, k: int, least: int = LEAST_DOCS) -> DataFr
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[str, int] = {}
-        table = np.zeros((1 << 12, k + 2), np.float64)
+        of_cue: dict[str, tuple[int, ...]] = {}
+        table = np.zeros((0, k + 2))
 
         def flush() -> pa.RecordBatch:
             t = table[: len(index)]
@@ -112,24 +114,30 @@ def term_weights(weighted: DataFrame, k: int, least: int = LEAST_DOCS) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), pa.array(t[:, 0].astype(np.int64)), pa.array(t[:, 1].astype(np.int64)), flat], ["term", "docs", "cues", "weights"])
 
         for b in batches:
-            for doc, w in zip(b.column("cues").to_pylist(), b.column("weights").to_pylist(), strict=True):
-                n: dict[str, int] = {}
+            ids: list[int] = []
+            sizes = []
+            for doc in b.column("cues").to_pylist():
+                before = len(ids)
                 for c in doc:
-                    for t in {*c.split(), "=" + c}:
-                        n[t] = n.get(t, 0) + 1
-                if not n:
-                    continue
-                rows = np.fromiter((index.setdefault(t, len(index)) for t in n), np.int64, len(n))
-                while len(index) > len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                times = np.fromiter(n.values(), np.float64, len(n))
-                table[rows, 0] += 1
-                table[rows, 1] += times
-                table[rows, 2:] += times[:, None] * np.asarray(w)[None, :]
-            if len(index) > 400_000:
+                    if (terms := of_cue.get(c)) is None:
+                        terms = of_cue[c] = tuple(index.setdefault(t, len(index)) for t in {*c.split(), "=" + c})
+                    ids += terms
+                sizes.append(len(ids) - before)
+            if not ids:
+                continue
+            m = len(index)
+            # each term of each document once, with its number of cues
+            pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * m + np.array(ids), return_counts=True)
+            doc_no, term = np.divmod(pairs, m)
+            weights = pc.list_flatten(b.column("weights")).to_numpy(zero_copy_only=False).reshape(-1, k)
+            new = np.stack([np.bincount(term, minlength=m), np.bincount(term, times, m), *(np.bincount(term, times * weights[doc_no, s], m) for s in range(k))], 1)
+            new[: len(table)] += table
+            table = new
+            if m > 400_000:
                 yield flush()
                 index.clear()
-                table[:] = 0
+                of_cue.clear()
+                table = table[:0]
         if index:
             yield flush()
 
@@ -167,7 +175,7 @@ def lexicon_shares(words: DataFrame, lexicon: Lexicon) -> DataFrame:
             n, counts, sections, address = [], [], [], []
             for doc, places in zip(b.column("cues").to_pylist(), b.column("hosts").to_pylist(), strict=True):
                 by = lex.counts(doc, memory) if doc else np.zeros((3, k), np.int32)
-                size = np.array([sum(1 for _ in range(-(-len(doc) * i // 3), -(-len(doc) * (i + 1) // 3))) for i in range(3)]) if doc else np.zeros(3, int)
+                size = np.array([-(-len(doc) * (i + 1) // 3) + (-len(doc) * i // 3) for i in range(3)])
                 reached = ((by >= SHARE * np.maximum(size, 1)[:, None]) & (by > 0)).sum(0)
                 n.append(len(doc))
                 counts.append(by.sum(0).tolist())
