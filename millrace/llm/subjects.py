@@ -3,7 +3,8 @@
 1. Every text is read into its spoken cues (folded words).
 2. A lexicon is learned: terms whose cues lie mostly in documents of one subject; first from a bounded sample of labelled
    documents, then again from all documents with the subjects that the first lexicon finds in them. Terms of several
-   subjects count for the one that the document shows otherwise.
+   subjects count for the one that the document shows otherwise. The second lexicon stays a table: each block of documents
+   gets the part of it that it uses.
 3. Labelling functions vote on each (document, subject): lexicon (share of the spoken cues), section (whether several
    thirds of the document reach the share), address (words of web addresses), source (how common the subject is there).
 4. The votes form few patterns. Where annotators vote too, expectation maximisation learns from the patterns' counts how
@@ -19,23 +20,27 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core.runtime import map_arrow, materialise
+from millrace.core.runtime import map_arrow, materialise, ship_package
 from millrace.llm.subtitles import cues, hosts, spoken_words
 
 #: the share of spoken cues that makes a subject, and where the lexicon function's votes change
 SHARE, BINS = 0.2, (0.05, 0.1, 0.15, 0.2)
 #: at most so many labelled documents are learned from, by the hash of their id
 LABELLED_SAMPLE = 20_000
-#: a term needs LEAST_DOCS documents and LEAST_SHARE of all; the share bounds the number of terms, whatever the corpus
-LEAST_DOCS, LEAST_SHARE = 3, 5e-5
+#: a term needs so many documents, whatever the size of the corpus
+LEAST_DOCS = 3
 #: a term to the subject that holds PURE of its weight, or to those that hold PART each and FEW together
 PURE, PART, FEW = 0.6, 0.25, 0.7
 #: source votes: how much more or less common than everywhere, and from how many documents on
 _LIFT, _SOURCE_DOCS = 1.5, 20
-_WORDS = "doc_id long, source string, cues array<string>, hosts array<string>"
+#: a block of documents that share a part of the lexicon ends at so many documents or characters
+_BLOCK_DOCS, _BLOCK_CHARS = 10_000, 20_000_000
+_WORDS = "block long, doc_id long, source string, cues array<string>, hosts array<string>"
+_SHARES = "doc_id long, source string, n_cues int, counts array<int>, sections array<int>, addressed array<int>"
 
 
 @dataclass
@@ -78,15 +83,20 @@ class Lexicon:
 
 
 def document_words(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, cues, hosts): spoken cues as folded words; an empty list for null and empty texts."""
+    """(block, doc_id, source, cues, hosts): spoken cues as folded words; an empty list for null and empty texts. Blocks are
+    of neighbouring documents; their numbers hold for this one run, so the result is to be materialised."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, docs, size = TaskContext.get().partitionId() << 32, 0, 0
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                 texts = part.column("text").to_pylist()
                 words = [[w for c in cues(t) if (w := spoken_words(c)) is not None] for t in texts]
                 places = [sorted(hosts(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(words, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string()))], ["doc_id", "source", "cues", "hosts"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), part.num_rows), part.column("doc_id"), part.column("source"), pa.array(words, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string()))], ["block", "doc_id", "source", "cues", "hosts"])
+                docs, size = docs + len(texts), size + sum(len(t or "") for t in texts)
+                if docs >= _BLOCK_DOCS or size >= _BLOCK_CHARS:
+                    block, docs, size = block + 1, 0, 0
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return map_arrow(own, read, _WORDS)
@@ -100,92 +110,110 @@ def label_weights(labels: DataFrame, subjects: list[str], sample: int = LABELLED
     return by.select(F.col("doc_id").cast("long").alias("doc_id"), weights.alias("weights")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
 
 
-def term_weights(weighted: DataFrame, k: int, least: int = LEAST_DOCS) -> DataFrame:
-    """(term, docs, cues, weights) from (cues, weights); each worker adds up its partition before the shuffle."""
+def term_parts(weighted: DataFrame, k: int) -> DataFrame:
+    """(block, term, docs, cues, weights) from (block, cues, hosts, weights): the terms of each block of documents, added up
+    by the workers; a block may come in several parts. Words of addresses are looked up too, so they have a row, of zeros."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[str, int] = {}
         of_cue: dict[str, tuple[int, ...]] = {}
         table = np.zeros((0, k + 2))
+        block = None
 
         def flush() -> pa.RecordBatch:
-            t = table[: len(index)]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(index) * k + 1, k), pa.int32()), pa.array(t[:, 2:].ravel(), pa.float64()))
-            return pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), pa.array(t[:, 0].astype(np.int64)), pa.array(t[:, 1].astype(np.int64)), flat], ["term", "docs", "cues", "weights"])
+            t, n = table, len(index)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(t[:, 2:].ravel(), pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), n), pa.array(list(index), pa.string()), pa.array(t[:, 0].astype(np.int64)), pa.array(t[:, 1].astype(np.int64)), flat], ["block", "term", "docs", "cues", "weights"])
 
         for b in batches:
-            ids: list[int] = []
-            sizes = []
-            for doc in b.column("cues").to_pylist():
-                before = len(ids)
-                for c in doc:
-                    if (terms := of_cue.get(c)) is None:
-                        terms = of_cue[c] = tuple(index.setdefault(t, len(index)) for t in {*c.split(), "=" + c})
-                    ids += terms
-                sizes.append(len(ids) - before)
-            if not ids:
-                continue
-            m = len(index)
-            # each term of each document once, with its number of cues
-            pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * m + np.array(ids), return_counts=True)
-            doc_no, term = np.divmod(pairs, m)
-            weights = pc.list_flatten(b.column("weights")).to_numpy(zero_copy_only=False).reshape(-1, k)
-            new = np.stack([np.bincount(term, minlength=m), np.bincount(term, times, m), *(np.bincount(term, times * weights[doc_no, s], m) for s in range(k))], 1)
-            new[: len(table)] += table
-            table = new
-            if m > 400_000:
-                yield flush()
-                index.clear()
-                of_cue.clear()
-                table = table[:0]
+            own = b.column("block").to_numpy(zero_copy_only=False)
+            starts = [*np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist(), len(own)] if len(own) else [0]
+            for start, end in zip(starts, starts[1:], strict=False):
+                if index and (own[start] != block or len(index) > 400_000):
+                    yield flush()
+                    index.clear()
+                    of_cue.clear()
+                    table = table[:0]
+                block = int(own[start])
+                part = b.slice(start, end - start)
+                ids: list[int] = []
+                sizes = []
+                for doc, places in zip(part.column("cues").to_pylist(), part.column("hosts").to_pylist(), strict=True):
+                    before = len(ids)
+                    for c in doc:
+                        if (terms := of_cue.get(c)) is None:
+                            terms = of_cue[c] = tuple(index.setdefault(t, len(index)) for t in {*c.split(), "=" + c})
+                        ids += terms
+                    for p in places:
+                        index.setdefault(p, len(index))
+                    sizes.append(len(ids) - before)
+                m = len(index)
+                if not m:
+                    continue
+                # each term of each document once, with its number of cues
+                pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * m + np.array(ids, np.int64), return_counts=True)
+                doc_no, term = np.divmod(pairs, m)
+                weights = pc.list_flatten(part.column("weights")).to_numpy(zero_copy_only=False).reshape(-1, k)
+                new = np.stack([np.bincount(term, minlength=m), np.bincount(term, times, m), *(np.bincount(term, times * weights[doc_no, s], m) for s in range(k))], 1)
+                new[: len(table)] += table
+                table = new
         if index:
             yield flush()
 
-    parts = map_arrow(weighted.select("cues", "weights"), count, "term string, docs long, cues long, weights array<double>")
-    merged = parts.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("cues").alias("cues"), *[F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(k)])
-    return merged.where(F.col("docs") >= least)
+    return map_arrow(weighted.select("block", "cues", "hosts", "weights"), count, "block long, term string, docs long, cues long, weights array<double>")
 
 
-def learn_lexicon(terms: DataFrame, subjects: list[str], pure: float = PURE) -> Lexicon:
-    """Terms that belong to one subject, or to few. Only terms that pass come to the driver. As each is in LEAST_SHARE of
-    the documents, there are at most (distinct terms of a mean document) / LEAST_SHARE of them."""
-    k = len(subjects)
-    # a lower bound of the share, so that rare terms need purer evidence
-    share = lambda i: (F.col(f"w{i}") - F.sqrt(F.col(f"w{i}") * F.greatest(1 - F.col(f"w{i}") / F.col("cues"), F.lit(0.0)))) / (F.col("cues") + 1)
-    found = terms.select("term", *[share(i).alias(f"r{i}") for i in range(k)]).where(F.greatest(*[F.col(f"r{i}") for i in range(k)]) >= PART).collect()
+def lexicon_terms(parts: DataFrame, k: int, pure: float = PURE) -> DataFrame:
+    """(term, options): terms in LEAST_DOCS documents that belong to one subject, or to few, by the subjects' indices."""
+    terms = parts.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("cues").alias("cues"), *[F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(k)])
+    cues_ = F.greatest("cues", F.lit(1))
+
+    def share(i: int) -> Column:  # a lower bound, so that rare terms need purer evidence
+        w = F.col(f"w{i}")
+        return (w - F.sqrt(w * F.greatest(1 - w / cues_, F.lit(0.0)))) / (cues_ + 1)
+
+    shares = terms.where(F.col("docs") >= LEAST_DOCS).select("term", F.array(*map(share, range(k))).alias("r"))
+    some = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get("r", i) >= PART)
+    found = shares.where(F.array_max("r") >= PART).select("term", "r", some.alias("options"))
+    together = F.aggregate(F.filter("r", lambda x: x >= PART), F.lit(0.0), lambda a, x: a + x)
+    return found.where(F.when(F.size("options") == 1, F.array_max("r") >= pure).otherwise(together >= FEW)).select("term", "options")
+
+
+def _lexicon(subjects: list[str], terms: Iterable[tuple[str, list[int]]]) -> Lexicon:
     lexicon = Lexicon(subjects)
-    for row in found:
-        r = np.array(row[1:])
-        some = np.flatnonzero(r >= PART)
-        if r.max() >= pure and len(some) == 1:
-            lexicon.pure[row[0]] = int(r.argmax())
-        elif len(some) > 1 and r[some].sum() >= FEW:
-            lexicon.mixed[row[0]] = tuple(map(int, some))
+    for term, options in terms:
+        if len(options) == 1:
+            lexicon.pure[term] = options[0]
+        else:
+            lexicon.mixed[term] = tuple(options)
     return lexicon
 
 
-def lexicon_shares(words: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, source, n_cues, counts: cues about each subject, sections: whether several thirds reach the share, addressed)."""
-    kept = words.sparkSession.sparkContext.broadcast(lexicon)  # bounded by LEAST_SHARE
-    k = len(lexicon.subjects)
+def lexicon_shares(words: DataFrame, parts: DataFrame, terms: DataFrame, subjects: list[str]) -> DataFrame:
+    """(doc_id, source, n_cues, counts: cues about each subject, sections: whether several thirds reach the share, addressed).
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, memory = kept.value, {}
-        for b in batches:
-            n, counts, sections, address = [], [], [], []
-            for doc, places in zip(b.column("cues").to_pylist(), b.column("hosts").to_pylist(), strict=True):
-                by = lex.counts(doc, memory) if doc else np.zeros((3, k), np.int32)
-                size = np.array([-(-len(doc) * (i + 1) // 3) + (-len(doc) * i // 3) for i in range(3)])
-                reached = ((by >= SHARE * np.maximum(size, 1)[:, None]) & (by > 0)).sum(0)
-                n.append(len(doc))
-                counts.append(by.sum(0).tolist())
-                sections.append(((reached > 1) & (by.sum(0) > 2)).astype(int).tolist())  # a stray cue or two fill no sections
-                said = {lex.pure[p] for p in places if p in lex.pure}
-                address.append([int(i in said) for i in range(k)])
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int32()), pa.array(counts, ints), pa.array(sections, ints), pa.array(address, ints)], ["doc_id", "source", "n_cues", "counts", "sections", "addressed"])
-
-    return map_arrow(words, run, "doc_id long, source string, n_cues int, counts array<int>, sections array<int>, addressed array<int>")
+    The lexicon `terms` may have any size: it is joined to the terms of each block, and a block meets only its own part.
+    """
+    ship_package(words.sparkSession)
+    k = len(subjects)
+
+    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        lex, memory = _lexicon(subjects, zip(own.column("term").to_pylist(), own.column("options").to_pylist(), strict=True)), {}
+        n, counts, sections, address = [], [], [], []
+        for doc, places in zip(docs.column("cues").to_pylist(), docs.column("hosts").to_pylist(), strict=True):
+            by = lex.counts(doc, memory) if doc else np.zeros((3, k), np.int32)
+            size = np.array([-(-len(doc) * (i + 1) // 3) + (-len(doc) * i // 3) for i in range(3)])
+            reached = ((by >= SHARE * np.maximum(size, 1)[:, None]) & (by > 0)).sum(0)
+            n.append(len(doc))
+            counts.append(by.sum(0).tolist())
+            sections.append(((reached > 1) & (by.sum(0) > 2)).astype(int).tolist())  # a stray cue or two fill no sections
+            said = {lex.pure[p] for p in places if p in lex.pure}
+            address.append([int(i in said) for i in range(k)])
+        ints = pa.list_(pa.int32())
+        return pa.Table.from_arrays([docs.column("doc_id"), docs.column("source"), pa.array(n, pa.int32()), pa.array(counts, ints), pa.array(sections, ints), pa.array(address, ints)], ["doc_id", "source", "n_cues", "counts", "sections", "addressed"])
+
+    own = parts.select("block", "term").join(terms, "term").select("block", "term", "options")
+    return words.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, _SHARES)
 
 
 def votes(shares: DataFrame, subjects: list[str]) -> DataFrame:
@@ -266,12 +294,12 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
     words = materialise(document_words(documents))
     weights = materialise(label_weights(labels, names))
     taught = words.join(F.broadcast(weights), "doc_id")
-    first = learn_lexicon(term_weights(taught, len(names)), names, PURE - 0.1)
+    # the terms of LABELLED_SAMPLE documents at most come to the driver
+    first = _lexicon(names, lexicon_terms(term_parts(taught, len(names)), len(names), PURE - 0.1).collect())
     # all documents teach, each by the subjects that the first lexicon finds in it
-    every = _with_weights(words, first)
-    support = max(LEAST_DOCS, -int(-LEAST_SHARE * words.count() // 1))
-    lexicon = learn_lexicon(term_weights(every, len(names), support), names)
-    voted = materialise(votes(materialise(lexicon_shares(words, lexicon)), names))
+    parts = materialise(term_parts(_with_weights(words, first), len(names)))
+    terms = materialise(lexicon_terms(parts, len(names)))
+    voted = materialise(votes(materialise(lexicon_shares(words, parts, terms, names)), names))
     post = posteriors(voted, weights, names)
     same = (F.col("s") == F.col("ps")) & (F.col("lexicon") == F.col("p_lexicon")) & (F.col("section") == F.col("p_section")) & (F.col("address") == F.col("p_address")) & (F.col("source") == F.col("p_source"))
     name = F.element_at(F.array(*map(F.lit, names)), F.col("s") + 1)
@@ -279,7 +307,7 @@ def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFra
 
 
 def _with_weights(words: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(cues, weights): 1 for every subject that reaches the share by this lexicon."""
+    """(block, cues, hosts, weights): 1 for every subject that reaches the share by this lexicon."""
     kept = words.sparkSession.sparkContext.broadcast(lexicon)
     k = len(lexicon.subjects)
 
@@ -287,6 +315,6 @@ def _with_weights(words: DataFrame, lexicon: Lexicon) -> DataFrame:
         lex, memory = kept.value, {}
         for b in batches:
             w = [(lex.counts(d, memory).sum(0) >= SHARE * len(d)).astype(np.float32).tolist() if d else [0.0] * k for d in b.column("cues").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("cues"), pa.array(w, pa.list_(pa.float32()))], ["cues", "weights"])
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("cues"), b.column("hosts"), pa.array(w, pa.list_(pa.float32()))], ["block", "cues", "hosts", "weights"])
 
-    return map_arrow(words.select("cues"), run, "cues array<string>, weights array<float>")
+    return map_arrow(words.select("block", "cues", "hosts"), run, "block long, cues array<string>, hosts array<string>, weights array<float>")

@@ -56,6 +56,17 @@ def test_held_out_documents(spark):
     assert document_subjects(df.limit(0), subjects, lab).count() == 0
 
 
+def test_rare_terms_count_in_a_large_corpus(spark):
+    """A term of three documents is learned among 61,000 as it is among few."""
+    common = [(i, srt([f"the {WORDS['law'][i % 4]}", "a day"] * 2 if i % 4 < 2 else ["come in", "it is late"]), "s1") for i in range(61_000)]
+    mixed = [(i, srt(["the judge", "my gavel"] * 20), "s1") for i in (70_000, 70_001)]
+    df = spark.createDataFrame([*common, *mixed, (70_002, srt(["my gavel"] * 6), "s1")], "doc_id long, text string, source string")
+    subjects = spark.createDataFrame([("law", "d"), ("sport", "d")], "subject string, description string")
+    labels = spark.createDataFrame([(i, "law" if i % 4 < 2 else "none", "x", None) for i in range(200)], "doc_id long, subject string, labelled_by string, labelled_at timestamp_ntz")
+    got = {(x[0], x[1]) for x in document_subjects(df, subjects, labels).where("doc_id >= 70000").collect()}
+    assert got == {(70_000, "law"), (70_001, "law"), (70_002, "law")}
+
+
 def test_accuracies_are_learned():
     r = np.random.default_rng(3)
     n = 4000
