@@ -7,9 +7,10 @@
    gets the part of it that it uses.
 3. Labelling functions vote on each (document, subject): lexicon (share of the spoken cues), section (whether several
    thirds of the document reach the share), address (words of web addresses), source (how common the subject is there).
-4. The votes form few patterns. Where annotators vote too, expectation maximisation learns from the patterns' counts how
-   each function votes on documents with and without a subject, the truth being hidden, as annotators err as well. A
-   document has a subject if its posterior from the functions' votes is at least a half.
+4. The votes form few patterns. Annotators vote too, on the documents they labelled. Expectation maximisation learns from
+   the patterns' counts in all documents how common each subject is, and how each function votes on documents with and
+   without it, the truth being hidden, as annotators err as well. A document has a subject if its posterior from the
+   functions' votes is at least a half.
 """
 
 from __future__ import annotations
@@ -268,16 +269,17 @@ def _posterior(subject: np.ndarray, x: np.ndarray, prior: np.ndarray, tables: li
 def posteriors(voted: DataFrame, weights: DataFrame, subjects: list[str]) -> DataFrame:
     """(s, votes, posterior) of every pattern that occurs: at most 60 a subject.
 
-    The accuracies are learned where annotators vote too (at most LABELLED_SAMPLE documents), as one function more whose
-    accuracy is learned like the others'; the posteriors hold for all documents and leave the annotators' votes out.
+    Accuracies and priors are learned from the patterns of all documents. The annotators are one function more, whose
+    accuracy is learned like the others' and whose vote is 0 (no vote) on documents without labels, and on those beyond
+    LABELLED_SAMPLE. The posteriors leave the annotators' votes out. Without any label there is none.
     """
     names, k = list(_KINDS), len(subjects)
-    taught = voted.join(F.broadcast(weights), "doc_id").withColumn("annotator", F.when(F.get("weights", F.col("s")) >= 0.5, 2).otherwise(1))
-    taught = taught.groupBy("s", *names, "annotator").count().collect()
-    found = voted.select("s", *names).distinct().collect()
+    annotator = F.when(F.col("weights").isNull(), 0).when(F.get("weights", F.col("s")) >= 0.5, 2).otherwise(1)
+    taught = voted.join(F.broadcast(weights), "doc_id", "left").groupBy("s", *names, annotator.alias("annotator")).count().collect()
+    found = sorted({tuple(r[:-2]) for r in taught})
     schema = "ps int, " + ", ".join(f"p_{n} int" for n in names) + ", posterior double"
     rows = []
-    if taught and found:
+    if any(r["annotator"] for r in taught):
         prior, tables = learn_accuracies(np.array([r["s"] for r in taught]), np.array([r[1:-1] for r in taught]), np.array([r[-1] for r in taught], float), k)
         post = _posterior(np.array([r[0] for r in found]), np.array([r[1:] for r in found]), prior, tables[: len(names)])
         rows = [(*r, float(q)) for r, q in zip(found, post, strict=True)]

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from millrace.llm.subjects import Lexicon, document_subjects, learn_accuracies
+from millrace.llm.subjects import Lexicon, document_subjects, learn_accuracies, posteriors
 from millrace.llm.subtitles import cues, folded, hosts, repaired, spoken_words
 
 WORDS = {"law": ["judge", "verdict", "witness", "appeal", "bench"], "sport": ["goal", "referee", "tackle", "league", "bench"], "music": ["violin", "chorus", "melody", "tempo"]}
@@ -76,6 +76,17 @@ def test_accuracies_are_learned():
     assert abs(prior[0] - 0.3) < 0.03 and abs(tables[4][0][2] - 0.85) < 0.03 and abs(tables[1][1][1] - 0.05) < 0.02
 
 
+def test_priors_are_those_of_all_documents(spark):
+    """Annotators saw mostly documents with the subject, which is rare: an undecided vote doesn't make it there."""
+    seen = [(4, 1.0)] * 90 + [(2, 1.0)] * 8 + [(2, 0.0)] * 2 + [(0, 0.0)] * 20
+    rest = [0] * 5000 + [4] * 50 + [2] * 20
+    voted = [(i, 0, v, 0, 0, 0) for i, v in enumerate([*(v for v, _ in seen), *rest])]
+    voted = spark.createDataFrame(voted, "doc_id long, s int, lexicon int, section int, address int, source int")
+    weights = spark.createDataFrame([(i, [w]) for i, (_, w) in enumerate(seen)], "doc_id long, weights array<float>")
+    post = {r["p_lexicon"]: r["posterior"] for r in posteriors(voted, weights, ["law"]).collect()}
+    assert post[4] > 0.5 and post[2] < 0.5 and post[0] < 0.1
+
+
 def test_ambiguous_terms_follow_the_document():
     lex = Lexicon(["law", "sport"], {"judge": 0, "goal": 1}, {"bench": (0, 1)})
     assert lex.counts(["the judge", "a bench"], {}).sum(0).tolist() == [2, 0]
