@@ -61,7 +61,15 @@ def _xml_fields(step: ET.Element) -> list[tuple[str, str]]:
 
 
 def _xml_condition(c: ET.Element) -> dict:
-    return {"left": text_of(c.find("leftvalue")), "function": text_of(c.find("function")) or text_of(c.find("operator")), "value": text_of(c.find("value/text")), "inner": [_xml_condition(x) for x in _children(c, "conditions", "condition")]}
+    """The condition with its inner conditions, read by a stack, so that they may nest to any depth."""
+    out: dict = {}
+    todo = [(c, out)]
+    while todo:
+        x, d = todo.pop()
+        inner = _children(x, "conditions", "condition")
+        d |= {"left": text_of(x.find("leftvalue")), "function": text_of(x.find("function")) or text_of(x.find("operator")), "value": text_of(x.find("value/text")), "inner": [{} for _ in inner]}
+        todo += zip(inner, d["inner"], strict=True)
+    return out
 
 
 def xml_definition(root: ET.Element) -> dict | None:

@@ -74,3 +74,12 @@ def test_child_table(spark):
     assert child_table(clash, ["id"], "items").columns == ["id", "pos_items", "item_id", "item_pos_items"]
     scalars = spark.createDataFrame([(1, ["a", None])], "id int, tags array<string>")
     assert {tuple(r) for r in child_table(scalars, ["id"], "tags").collect()} == {(1, 1, "a"), (1, 2, None)}
+
+
+def test_conditions_of_some_thousand_levels(spark):
+    n = 3000
+    deep = "<condition>" + "<conditions><condition>" * n + "</condition></conditions>" * n + "</condition>"
+    xml = f"<transformation><name>n</name><step><name>s</name><compare>{deep}</compare></step></transformation>"
+    good = "<transformation><name>m</name><step><name>t</name></step></transformation>"
+    got = definition_tables(spark.createDataFrame([("1", xml.encode()), ("2", good.encode())], FILES), spark.createDataFrame([], TEXTS))
+    assert got["conditions"].count() == n + 1 and got["parts"].count() == 2
