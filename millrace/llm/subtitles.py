@@ -13,7 +13,6 @@ _MARKS = re.compile(r"[<\[({*♪#]")
 _SPEAKER = re.compile(r"^\s*(?:>>\s*)?[-–]?\s*(?:[^\W\d_]{2,}(?: [^\W\d_]{2,})?:(?=\s))?")
 #: the end of a web address; what it starts with is looked up backwards, so that most dots cost one comparison
 _DOMAIN = re.compile(r"\.[a-z]{2,}\b")
-_BEFORE = re.compile(r"[\w.-]*\Z")
 #: marks of adverts and credits (fixed values)
 _CREDITS = re.compile(r"subtit|untertitel|sous-titre|subtítul|synced|corrected by|vip member|support us|first recipe free|rate this|download", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
@@ -77,10 +76,16 @@ def cues(text: str | None) -> list[str]:
 
 
 def hosts(text: str | None) -> set[str]:
-    """Folded words of the web addresses in a text."""
-    found = set()
+    """Folded words of the web addresses in a text, from each address's start on; each character is looked at once."""
+    found, start, seen, done = set(), 0, 0, 0
     for m in _DOMAIN.finditer(text or ""):
-        start = _BEFORE.search(text, max(0, m.start() - 100), m.start()).start()
-        if start < m.start() and text[m.start() - 1] != ".":
-            found.update(folded(re.sub(r"[\W\d_]+", " ", text[start : m.end()])).split())
+        i = at = m.start()
+        while i > seen and (text[i - 1].isalnum() or text[i - 1] in "_.-"):
+            i -= 1
+        if i > seen:  # else it goes on from the dot before
+            start = i
+        seen = at
+        if start < at and text[at - 1] != ".":
+            found.update(folded(re.sub(r"[\W\d_]+", " ", text[max(start, done) : m.end()])).split())
+            done = m.end()
     return found

@@ -101,3 +101,8 @@ def test_cues_of_all_forms():
     assert spoken_words("<i>JOHN: - The end.</i>") == folded("The end")
     assert folded("config fiIe") == folded("config file") and folded("ancl") == folded("and") and folded("rnatter") == folded("matter")
     assert repaired("dÃ©claration") == "déclaration" and hosts("see www.judge.example now") >= {folded("judge")}
+
+
+def test_long_addresses_are_read_from_their_start():
+    assert hosts("see judge-" + "ab-" * 60 + "cd.example now") >= {folded("judge"), folded("ab"), folded("example")}
+    assert hosts("www.judge.example and goal.example") == {folded(w) for w in ("www", "judge", "example", "goal")}
