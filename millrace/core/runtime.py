@@ -8,11 +8,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: a range partition of a sorted scan holds about so many stored bytes
+PARTITION_BYTES = 64 << 20
+_written: dict[str, SparkSession] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,23 +36,58 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage and fixes the result of a sampled range partitioning, so that two readers see the same
-    partitions. The table survives lost executors and is removed when the driver ends.
+    partitions. The table survives lost executors and is removed by `release`, at the end of a `scratch` block, or when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    for scope in _scopes:
+        scope.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Remove the tables behind results of `materialise` that nothing reads any more."""
+    for df in dfs:
+        if path := getattr(df, "_millrace_path", None):
+            _remove(path)
+
+
+@contextmanager
+def scratch():
+    """Tables that are materialised inside are removed at the end: for runs whose results are written or fetched by then."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            _remove(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        fs, p = _hadoop(spark, path)
+        fs.delete(p, True)
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in list(_written.items()):
         try:
-            jvm = spark.sparkContext._jvm
-            if jvm is not None:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            if spark.sparkContext._jvm is not None:
+                _remove(path)
         except Exception:  # the session is gone already
             return
 
@@ -86,11 +125,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def sorted_scan(df: DataFrame, order: list, scan, schema, partitions: int | None = None) -> DataFrame:
     """Range partition df by `order` (sampled quantiles, so one hot key spans several partitions), sort, and run `scan`.
 
-    `scan` gets the Arrow batches of one partition in order. Its result is materialised, as the partition ids that
-    boundary states carry are only meaningful for this one run.
+    `scan` gets the Arrow batches of one partition in order, and is to keep no more of them than it needs. Its result is
+    materialised, as the partition ids that boundary states carry are only meaningful for this one run; so is its input, as
+    sampling reads it once more. The partitions are as many as the input's size asks for, and at least
+    spark.sql.shuffle.partitions.
     """
-    n = partitions or shuffle_partitions(df.sparkSession)
-    return materialise(map_arrow(df.repartitionByRange(n, *order).sortWithinPartitions(*order), scan, schema))
+    own = materialise(df)
+    fs, path = _hadoop(df.sparkSession, own._millrace_path)
+    size = fs.getContentSummary(path).getLength()
+    n = partitions or max(shuffle_partitions(df.sparkSession), -(-size // PARTITION_BYTES))
+    out = materialise(map_arrow(own.repartitionByRange(n, *order).sortWithinPartitions(*order), scan, schema))
+    release(own)
+    return out
 
 
 def iso_millis(c: Column) -> Column:

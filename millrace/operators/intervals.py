@@ -3,13 +3,15 @@
 Starts and ends are sorted independently of each other. A gap lies where the start of rank i+1 exceeds the end of rank
 i; the boundaries of neighbouring gaps, paired, give the periods. Ranks are counted within range partitions of
 (entity, time), so an entity may span any number of partitions: its first rank there depends on how many intervals are
-open at the partition's border. The scan assumes the least possible number, marks what depends on it, and emits a state
-of at most two rows a partition, from which the true number, and what spans borders, is stitched.
+open at the partition's border. The scan goes batch by batch with a state of one row. It assumes the least number of open
+intervals that it has met so far, marks what depends on it with that number, and emits a state of at most two rows a
+partition, from which the true number, and what spans borders, is stitched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,87 +42,139 @@ def merged_intervals(df: DataFrame, entity: str, start: str, end: str, partition
     out = ["kind", "entity", "from_time", "to_time"]
     sure = found.where("kind <> 'state' and not bound").select(out)
     # at most one row a partition
-    firm = F.broadcast(border.where("kind = 'firm'").select("pid"))
-    held = found.where("kind <> 'state' and bound").join(firm, "pid").select(out)
+    firm = F.broadcast(border.where("kind = 'firm'").select("pid", "dmin"))
+    held = found.where("kind <> 'state' and bound").join(firm, ["pid", "dmin"]).select(out)
     return sure.unionByName(held).unionByName(border.where("kind <> 'firm'").select(out))
 
 
-def _table(rows: dict, n: int) -> pa.RecordBatch:
-    def arr(v, kind):
-        if v is None:
-            return pa.nulls(n, kind)
-        if isinstance(v, pa.Array | pa.ChunkedArray):
-            return v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
-        v = np.asarray(v)
+_KINDS = {"kind": pa.string(), "entity": pa.string(), "from_time": _TS, "to_time": _TS, "pid": pa.int32(), "bound": pa.bool_(), "bal": pa.int64(), "dmin": pa.int64(), "lead": _TS, "last_end": _TS, "firm": pa.bool_()}
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """n rows of the scan's schema; single values stand for all rows, numbers in time columns are microseconds."""
+
+    def array(v, kind: pa.DataType) -> pa.Array:
+        if v is None or isinstance(v, pa.Array):
+            return pa.nulls(n, kind) if v is None else v
         if kind == _TS:
+            v = np.broadcast_to(np.asarray(v, np.int64), n)
             return pa.array(v, pa.int64(), mask=v == _NONE).cast(_TS)
-        return pa.array(v.tolist() if v.dtype == object else v, kind)
+        return pa.array([v] * n if isinstance(v, str | bool) else np.broadcast_to(np.asarray(v), n), kind)
+
+    return pa.RecordBatch.from_arrays([array(columns.get(k), t) for k, t in _KINDS.items()], list(_KINDS))
+
+
+@dataclass
+class _Open:
+    """The entity at the end of what was read, in this partition: intervals begun less ended, the least of that, the last
+    end, and of the gaps at that least: the first one's ends, and where the period after the last one began."""
+
+    entity: str | None
+    bound: bool  # the partition's first entity, which may have begun before
+    balance: int = 0
+    least: int = 0
+    last_end: int = _NONE
+    first_from: int = _NONE
+    first_to: int = _NONE
+    since: int = _NONE
+    level: int = 0
 
-    kinds = {"kind": pa.string(), "entity": pa.string(), "from_time": _TS, "to_time": _TS, "pid": pa.int32(), "bound": pa.bool_(), "bal": pa.int64(), "dmin": pa.int64(), "lead": _TS, "last_end": _TS, "firm": pa.bool_()}
-    return pa.RecordBatch.from_arrays([arr(rows.get(k), t) for k, t in kinds.items()], list(kinds))
+    def state(self, pid: int) -> pa.RecordBatch:
+        firm = self.since != _NONE and self.level == -self.least
+        ends = (self.first_from, self.first_to, self.since) if firm else (_NONE, _NONE, _NONE)
+        return _rows(1, kind="state", entity=pa.array([self.entity], pa.string()), from_time=ends[0], to_time=ends[1], pid=pid, bound=self.bound, bal=self.balance, dmin=-self.least, lead=ends[2], last_end=self.last_end, firm=firm)
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got).combine_chunks()
-    pid = TaskContext.get().partitionId()
-    names = t["entity"].combine_chunks()
-    code = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    at = t["t"].cast(pa.int64()).to_numpy()
-    ns, ne = t["ns"].to_numpy(), t["ne"].to_numpy()
-    n = len(at)
-    first = np.r_[True, code[1:] != code[:-1]]
-    g = np.cumsum(first) - 1
-    head = np.flatnonzero(first)
-    tail = np.r_[head[1:], n] - 1
-    cs, ce = np.cumsum(ns), np.cumsum(ne)
-    cs -= (cs[head] - ns[head])[g]  # ranks within the entity's part of this partition
-    ce -= (ce[head] - ne[head])[g]
-    bal = cs - ce
-    d = np.zeros(len(head), np.int64)
-    d[0] = max(0, -int(bal[: tail[0] + 1].min()))
-
-    # the start of the next rank against the end of the current rank
-    starts = np.flatnonzero(ns > 0)
-    ends = np.flatnonzero(ne > 0)
-    rank = cs[starts] - ns[starts] + d[g[starts]]
-    big = np.int64(n and (cs.max() + ce.max() + d.max() + 2))
-    spot = np.searchsorted(g[ends] * big + ce[ends], g[starts] * big + rank)
-    inside = (rank > 0) & (spot < len(ends))
-    end_at = np.full(len(starts), _NONE)
-    end_at[inside] = np.where(g[ends[spot[inside]]] == g[starts[inside]], at[ends[spot[inside]]], np.iinfo(np.int64).max)
-    end_at[(rank > 0) & (spot >= len(ends))] = np.iinfo(np.int64).max
-    cut = end_at < at[starts]
-    c, gap_from = starts[cut], end_at[cut]
-    cg, gap_to = g[c], at[c]
-
-    last_end = np.full(len(head), _NONE)
-    np.maximum.at(last_end, g[ends], at[ends])
-    has = np.zeros(len(head), bool)
-    has[cg] = True
-    open_from = np.full(len(head), _NONE)
-    open_from[cg] = gap_to  # the last one stays
-    lead_to = np.full(len(head), _NONE)
-    lead_from = np.full(len(head), _NONE)
-    lead_to[cg[::-1]] = gap_to[::-1]
-    lead_from[cg[::-1]] = gap_from[::-1]
-
-    take = lambda i: names.take(pa.array(head[i]))
-    one = gap_from != _NONE
-    if one.any():
-        yield _table({"kind": np.full(one.sum(), "gap", object), "entity": take(cg[one]), "from_time": gap_from[one], "to_time": gap_to[one], "pid": np.full(one.sum(), pid), "bound": cg[one] == 0}, int(one.sum()))
-    pair = np.flatnonzero(cg[1:] == cg[:-1])
-    if len(pair):
-        yield _table({"kind": np.full(len(pair), "period", object), "entity": take(cg[pair]), "from_time": gap_to[pair], "to_time": gap_from[pair + 1], "pid": np.full(len(pair), pid), "bound": cg[pair] == 0}, len(pair))
-    whole = np.arange(1, len(head) - 1)
-    if len(whole):
-        yield _table({"kind": np.full(len(whole), "period", object), "entity": take(whole), "from_time": open_from[whole], "to_time": last_end[whole], "pid": np.full(len(whole), pid), "bound": np.zeros(len(whole), bool)}, len(whole))
-    edge = np.unique([0, len(head) - 1])
-    yield _table({"kind": np.full(len(edge), "state", object), "entity": take(edge), "from_time": lead_from[edge], "to_time": lead_to[edge], "pid": np.full(len(edge), pid), "bound": edge == 0, "bal": bal[tail[edge]], "dmin": d[edge], "lead": open_from[edge], "last_end": last_end[edge], "firm": has[edge]}, len(edge))
+    pid, open_ = TaskContext.get().partitionId(), None
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        names = b.column("entity")
+        code = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        at = b.column("t").cast(pa.int64()).to_numpy()
+        ns, ne = b.column("ns").to_numpy(), b.column("ne").to_numpy()
+        new = np.r_[True, code[1:] != code[:-1]]
+        g = np.cumsum(new) - 1
+        head = np.flatnonzero(new)
+        tail = np.r_[head[1:], n] - 1
+        entity = names[0].as_py()
+        if open_ is None:
+            open_ = _Open(entity, True)
+        elif open_.entity != entity:
+            yield from _closed(open_, pid)
+            open_ = _Open(entity, False)
+
+        # ranks of starts and ends within the entity, the first entity's going on from what was read before
+        begun, ended = np.cumsum(ns), np.cumsum(ne)
+        begun -= (begun[head] - ns[head])[g]
+        ended -= (ended[head] - ne[head])[g]
+        balance = begun - ended
+        own = slice(0, tail[0] + 1)
+        balance[own] += open_.balance
+        before = balance - ns + ne
+        least = np.zeros(n, np.int64)
+        if open_.bound:
+            least[own] = np.minimum.accumulate(np.minimum(np.r_[open_.least, balance[own][:-1]], open_.least))
+        # the end before each instant: the end of the current rank, where none is open
+        spot = np.maximum.accumulate(np.where(ne > 0, np.arange(n), -1))
+        spot = np.r_[-1, spot[:-1]]
+        end = np.where(spot >= head[g], at[np.maximum(spot, 0)], _NONE)
+        end[own] = np.where(spot[own] >= 0, end[own], open_.last_end)
+        # the start of the next rank exceeds the end of the current rank where all that began have ended
+        c = np.flatnonzero((ns > 0) & (before == least))
+        group, gap_from, gap_to, level = g[c], end[c], at[c], -least[c]
+
+        bound = open_.bound
+        take = lambda i: names.take(pa.array(head[i]))
+        one = np.flatnonzero(gap_from != _NONE)
+        if len(one):
+            yield _rows(len(one), kind="gap", entity=take(group[one]), from_time=gap_from[one], to_time=gap_to[one], pid=pid, bound=bound & (group[one] == 0), dmin=level[one])
+        # neighbouring gaps, paired, give the periods; the last gap of the batch before comes first
+        pg, pf, pt, pl = group, gap_from, gap_to, level
+        if open_.since != _NONE:
+            pg, pf, pt, pl = np.r_[0, group], np.r_[_NONE, gap_from], np.r_[open_.since, gap_to], np.r_[open_.level, level]
+        pair = np.flatnonzero((pg[1:] == pg[:-1]) & (pl[1:] == pl[:-1]))
+        if len(pair):
+            yield _rows(len(pair), kind="period", entity=take(pg[pair]), from_time=pt[pair], to_time=pf[pair + 1], pid=pid, bound=bound & (pg[pair] == 0), dmin=pl[pair])
+
+        last_end = np.full(len(head), _NONE)
+        ends = np.flatnonzero(ne > 0)
+        np.maximum.at(last_end, g[ends], at[ends])
+        since = np.full(len(head), _NONE)
+        since[group] = gap_to  # the last one stays
+        # whole entities within the batch
+        whole = np.arange(1, len(head) - 1)
+        if len(whole):
+            yield _rows(len(whole), kind="period", entity=take(whole), from_time=since[whole], to_time=last_end[whole], pid=pid, bound=False, dmin=0)
+
+        first = np.flatnonzero(group == 0)
+        if len(first):
+            if open_.since == _NONE or open_.level != level[first[-1]]:
+                lead = first[level[first] == level[first[-1]]][0]
+                open_.first_from, open_.first_to = int(gap_from[lead]), int(gap_to[lead])
+            open_.since, open_.level = int(gap_to[first[-1]]), int(level[first[-1]])
+        open_.balance = int(balance[tail[0]])
+        open_.least = min(int(least[tail[0]]), open_.balance) if bound else 0
+        open_.last_end = max(open_.last_end, int(last_end[0]))
+        if len(head) > 1:
+            yield from _closed(open_, pid)
+            k = len(head) - 1
+            mine = np.flatnonzero(group == k)
+            open_ = _Open(names[int(head[k])].as_py(), False, int(balance[-1]), 0, int(last_end[k]), _NONE, int(gap_to[mine[0]]), int(since[k]), 0)
+    if open_ is not None:
+        yield open_.state(pid)
+
+
+def _closed(open_: _Open, pid: int) -> Iterator[pa.RecordBatch]:
+    """An entity that ends in this partition: its last period, or its state if it may have begun before."""
+    if open_.bound:
+        yield open_.state(pid)
+    else:
+        yield _rows(1, kind="period", entity=pa.array([open_.entity], pa.string()), from_time=open_.since, to_time=open_.last_end, pid=pid, bound=False, dmin=0)
 
 
 def _stitch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +186,7 @@ def _stitch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close():
         if live and since is not None:
-            out.append(("period", entity, since, last, None))
+            out.append(("period", entity, since, last, None, None))
 
     for r in rows:
         if not live or r["entity"] != entity:
@@ -140,18 +194,16 @@ def _stitch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entity, live, depth, since, last = r["entity"], True, 0, None, None
         if r["firm"] and depth == r["dmin"]:
             if r["bound"]:
-                out.append(("firm", None, None, None, r["pid"]))
+                out.append(("firm", None, None, None, r["pid"], r["dmin"]))
             ended = r["from_time"] or last
             if since is not None:
-                out.append(("period", entity, since, ended, None))
+                out.append(("period", entity, since, ended, None, None))
                 if r["from_time"] is None:
-                    out.append(("gap", entity, ended, r["to_time"], None))
+                    out.append(("gap", entity, ended, r["to_time"], None, None))
             since = r["lead"]
         depth += r["bal"]
         last = max((x for x in (last, r["last_end"]) if x is not None), default=None)
     close()
     if out:
-        kind, ent, a, b, pid = zip(*out, strict=True)
-        cols = [pa.array(kind, pa.string()), pa.array(ent, pa.string()), pa.array(a, _TS), pa.array(b, _TS), pa.array(pid, pa.int32())]
-        rest = [pa.nulls(len(out), t) for t in (pa.bool_(), pa.int64(), pa.int64(), _TS, _TS, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(cols + rest, ["kind", "entity", "from_time", "to_time", "pid", "bound", "bal", "dmin", "lead", "last_end", "firm"])
+        kind, ent, a, b, pid, level = zip(*out, strict=True)
+        yield _rows(len(out), kind=pa.array(kind, pa.string()), entity=pa.array(ent, pa.string()), from_time=pa.array(a, _TS), to_time=pa.array(b, _TS), pid=pa.array(pid, pa.int32()), dmin=pa.array(level, pa.int64()))

@@ -22,7 +22,7 @@ BLOCK = 1 << 20
 _FOREVER = np.iinfo(np.int64).max
 _NEVER = np.iinfo(np.int64).min
 _RUN, _RECORD, _REF = 0, 1, 2
-_SCAN = "kind int, space string, n long, t long, ref_id long, seen boolean, known boolean, upto long, pid int"
+_SCAN = "kind int, space string, n long, t long, ref_id {}, seen boolean, known boolean, upto long, pid int"
 
 
 def integer_key(key: Column) -> tuple[Column, Column]:
@@ -57,7 +57,7 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_time: str, links: list[t
     created on until before deleted (null: for ever). reason: `missing` without any record of that id, `late` if all
     were created later, else `deleted`. Null references and references without a time are left out; a record without a
     created time exists but never lives and counts as earlier. Ids are compared trimmed and in upper case; an empty id
-    is an id. Only the columns that are named are read. A null `ref_id` is kept.
+    is an id. Only the columns that are named are read. A null `ref_id` is kept; it may have any type that can be sorted.
     """
     parts, records = [], []
     t = _micros(F.col(ref_time))
@@ -65,19 +65,20 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_time: str, links: list[t
         space, n = integer_key(F.col(key))
         records.append(parent.where(F.col(key).isNotNull()).select(F.concat(F.lit(name + "|"), space).alias("space"), n.alias("n"), F.coalesce(_micros(F.col(created)), F.lit(_NEVER)).alias("t"), F.when(F.col(created).isNull(), F.lit(_NEVER)).otherwise(F.coalesce(_micros(F.col(deleted)), F.lit(_FOREVER))).alias("upto")))
         space, n = integer_key(F.col(column))
-        parts.append(refs.where(F.col(column).isNotNull() & F.col(ref_time).isNotNull()).select(F.lit(_REF).alias("kind"), F.concat(F.lit(name + "|"), space).alias("space"), n.alias("n"), t.alias("t"), F.col(ref_id).cast("long").alias("ref_id"), F.lit(_NEVER).alias("upto")))
+        parts.append(refs.where(F.col(column).isNotNull() & F.col(ref_time).isNotNull()).select(F.lit(_REF).alias("kind"), F.concat(F.lit(name + "|"), space).alias("space"), n.alias("n"), t.alias("t"), F.col(ref_id).alias("ref_id"), F.lit(_NEVER).alias("upto")))
     record = records[0]
     for r in records[1:]:
         record = record.unionByName(r)
-    none = F.lit(None).cast("long")
+    id_type = refs.schema[ref_id].dataType
+    none, scanned = F.lit(None).cast(id_type), _SCAN.format(id_type.simpleString())
     record = record.groupBy("space", "n", "t").agg(F.max("upto").alias("upto"))
     runs = contiguous_runs(record.select("space", "n")).select(F.lit(_RUN).alias("kind"), "space", "n", F.lit(_NEVER).alias("t"), none.alias("ref_id"), "upto")
     every = runs.unionByName(record.select(F.lit(_RECORD).alias("kind"), "space", "n", "t", none.alias("ref_id"), "upto"))
     for p in parts:
         every = every.unionByName(p)
     # ref_id is in the order only to let the sampled quantiles split references of one key and time
-    found = sorted_scan(every, ["space", "n", "t", "kind", "ref_id"], _scan, _SCAN, partitions)
-    carry = F.broadcast(map_arrow(found.where(f"kind <> {_REF}").repartition(1), _carry, _SCAN).select(F.col("pid"), *[F.col(c).alias("c_" + c) for c in ("space", "n", "upto", "t", "known", "seen")]))  # a row a partition
+    found = sorted_scan(every, ["space", "n", "t", "kind", "ref_id"], _scan, scanned, partitions)
+    carry = F.broadcast(map_arrow(found.where(f"kind <> {_REF}").repartition(1), _carry, scanned).select(F.col("pid"), *[F.col(c).alias("c_" + c) for c in ("space", "n", "upto", "t", "known", "seen")]))  # a row a partition
     own = F.col("space").eqNullSafe(F.col("c_space"))
     same = own & (F.col("n") == F.col("c_n"))
     seen = F.col("seen") | F.coalesce(same & F.col("c_seen"), F.lit(False))
@@ -90,37 +91,55 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_time: str, links: list[t
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """References that no record seen in this partition keeps alive, and the partition's last run and record."""
+    """References that no record seen in this partition keeps alive, and the partition's last run and record.
+
+    It goes batch by batch; each batch is led by the last run and the last key's latest end of those before."""
     from pyspark import TaskContext
 
-    got = [b for b in batches if b.num_rows]
-    if not got:
+    pid, led, first, last = TaskContext.get().partitionId(), None, None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b.select(["kind", "space", "n", "t", "ref_id", "upto"])
+        if led is not None and led.num_rows:
+            b = pa.Table.from_batches([led, b]).combine_chunks().to_batches()[0]
+        space = b.column("space")
+        code = space.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        kind, n, at, upto = (b.column(c).to_numpy() for c in ("kind", "n", "t", "upto"))
+        m = len(kind)
+        i = np.arange(m)
+        group = np.cumsum(np.r_[True, (code[1:] != code[:-1]) | (n[1:] != n[:-1])]) - 1
+        # the preceding run of the same space, and whether it reaches the key
+        run = np.maximum.accumulate(np.where(kind == _RUN, i, -1))
+        known = (run >= 0) & (code[run] == code) & (upto[run] >= n)
+        # the latest end among the preceding records of the same key: a running maximum of ranks, lifted by the group
+        record = kind == _RECORD
+        ends, rank = np.unique(np.where(record, upto, _NEVER), return_inverse=True)
+        lift = group * np.int64(len(ends) + 1)
+        best = np.maximum.accumulate(np.where(record, lift + rank + 1, lift)) - lift
+        seen = best > 0
+        end = np.where(seen, ends[np.maximum(best, 1) - 1], _NEVER)
+        dead = np.flatnonzero((kind == _REF) & (end <= at))
+        ids = b.column("ref_id")
+        if len(dead):
+            yield _rows(kind[dead], space.take(pa.array(dead)), n[dead], at[dead], ids.take(pa.array(dead)), seen[dead], known[dead], end[dead], pid)
+        key = (space[m - 1].as_py(), int(n[-1]))
+        if first is None:
+            first = (space[0].as_py(), int(n[0]))
+        # what leads the next batch: the run, then the key's latest end
+        k = [int(run[-1])] if run[-1] >= 0 else []
+        ends_at = [_RUN] * len(k) + [_RECORD] * bool(seen[-1])
+        at_row = [*k, *([m - 1] if seen[-1] else [])]
+        led = pa.RecordBatch.from_arrays(
+            [pa.array(ends_at, pa.int32()), space.take(pa.array(at_row, pa.int64())), pa.array(n[at_row], pa.int64()), pa.array([_NEVER] * len(at_row), pa.int64()), pa.nulls(len(at_row), ids.type), pa.array([*upto[k].tolist(), *([int(end[-1])] if seen[-1] else [])], pa.int64())], b.schema.names
+        )
+        last = (key, bool(seen[-1]), int(end[-1]), (space[k[0]].as_py(), int(n[k[0]]), int(upto[k[0]])) if k else None, ids.type)
+    if last is None:
         return
-    pid = TaskContext.get().partitionId()
-    t = pa.Table.from_batches(got).combine_chunks()
-    space = t["space"].combine_chunks()
-    code = space.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    kind, n, at, upto = (t[c].to_numpy() for c in ("kind", "n", "t", "upto"))
-    m = len(kind)
-    i = np.arange(m)
-    group = np.cumsum(np.r_[True, (code[1:] != code[:-1]) | (n[1:] != n[:-1])]) - 1
-    # the preceding run of the same space, and whether it reaches the key
-    run = np.maximum.accumulate(np.where(kind == _RUN, i, -1))
-    known = (run >= 0) & (code[run] == code) & (upto[run] >= n)
-    # the latest end among the preceding records of the same key: a running maximum of ranks, lifted by the group
-    record = kind == _RECORD
-    ends, rank = np.unique(np.where(record, upto, _NEVER), return_inverse=True)
-    lift = group * np.int64(len(ends) + 1)
-    best = np.maximum.accumulate(np.where(record, lift + rank + 1, lift)) - lift
-    seen = best > 0
-    end = np.where(seen, ends[np.maximum(best, 1) - 1], _NEVER)
-    dead = np.flatnonzero((kind == _REF) & (end <= at))
-    if len(dead):
-        yield _rows(kind[dead], space.take(pa.array(dead)), n[dead], at[dead], t["ref_id"].combine_chunks().take(pa.array(dead)), seen[dead], known[dead], end[dead], pid)
-    last = m - 1
-    yield _rows([_RECORD], space.take(pa.array([last])), [n[last]], [_NEVER], pa.nulls(1, pa.int64()), [seen[last]], [group[0] == group[last]], [end[last]], pid)
-    if run[last] >= 0:
-        yield _rows([_RUN], space.take(pa.array([run[last]])), [n[run[last]]], [upto[run[last]]], pa.nulls(1, pa.int64()), [True], [True], [_NEVER], pid)
+    (own, number), was_seen, until, run_, kind_of_id = last
+    yield _rows([_RECORD], pa.array([own], pa.string()), [number], [_NEVER], pa.nulls(1, kind_of_id), [was_seen], [first == (own, number)], [until], pid)
+    if run_:
+        yield _rows([_RUN], pa.array([run_[0]], pa.string()), [run_[1]], [run_[2]], pa.nulls(1, kind_of_id), [True], [True], [_NEVER], pid)
 
 
 def _rows(kind, space, n, t, ref_id, seen, known, upto, pid) -> pa.RecordBatch:
@@ -134,7 +153,8 @@ def _carry(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A run and a key that matter for the first key of a partition share its space, so one row holds both.
     """
-    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["pid"], -r["kind"]))
+    read = list(batches)
+    rows = sorted((r for b in read for r in b.to_pylist()), key=lambda r: (r["pid"], -r["kind"]))
     by: dict[int, list[dict]] = {}
     for r in rows:
         by.setdefault(r["pid"], []).append(r)
@@ -142,7 +162,7 @@ def _carry(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for pid in sorted(by):
         if key is not None:
             inside = run is not None and run["space"] == key["space"]
-            yield _rows([_RECORD], pa.array([key["space"]]), [key["n"]], [run["t"] if inside else _NEVER], pa.nulls(1, pa.int64()), [key["seen"]], [inside], [key["upto"]], pid)
+            yield _rows([_RECORD], pa.array([key["space"]]), [key["n"]], [run["t"] if inside else _NEVER], pa.nulls(1, read[0].column("ref_id").type), [key["seen"]], [inside], [key["upto"]], pid)
         for r in by[pid]:
             if r["kind"] == _RUN:
                 run = r

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -67,3 +68,16 @@ def test_empty(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([("a", at(0), at(1), "x", 1, "y")], SCHEMA + ", kind string, pid int, entity string")
     assert [tuple(r) for r in merged_intervals(df, "e", "s", "t").collect()] == [("period", "a", at(0), at(1))]
+
+
+@pytest.mark.parametrize("batch", [1, 3])
+def test_batch_by_batch(spark, batch):
+    """However small the batches are: nested, touching and hanging over borders, first entities with unknown depth."""
+    r = random.Random(batch)
+    rows = [(r.choice(["a", "a", "a", "b", "c"]), at(s := r.randrange(300)), at(s + r.choice([1, 2, 5, 40]))) for _ in range(120)] + [("a", at(0), at(90)), ("b", at(100), at(299))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for partitions in (1, 4):
+            assert found(spark, rows, partitions) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

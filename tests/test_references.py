@@ -66,3 +66,23 @@ def test_empty_and_clashing(spark):
 def test_runs(spark):
     keys = spark.createDataFrame([("a", n) for n in (1, 2, 3, 7, 8, 20, 2, (1 << 20) - 1, 1 << 20)] + [("b", 4)], "space string, n long")
     assert {tuple(r) for r in contiguous_runs(keys).collect()} == {("a", 1, 3), ("a", 7, 8), ("a", 20, 20), ("a", (1 << 20) - 1, (1 << 20) - 1), ("a", 1 << 20, 1 << 20), ("b", 4, 4)}
+
+
+def test_any_type_of_id_batch_by_batch(spark):
+    """Ids may be texts; small batches hand on the last run and the latest end."""
+    r = random.Random(8)
+    parents = [(f"C{n}", at(r.randrange(20)), r.choice([None, at(20 + r.randrange(20))])) for n in [*range(1, 30), *range(40, 60)] for _ in range(1 + n % 2)]
+    refs = [(f"order {i}", f"C{r.randrange(70)}", at(r.randrange(45))) for i in range(300)] + [(None, "C99", at(1))]
+    p = spark.createDataFrame(parents, "k string, c timestamp_ntz, d timestamp_ntz")
+    df = spark.createDataFrame(refs, "o string, k string, t timestamp_ntz")
+    want = set()
+    for o, k, t in refs:
+        own = [(c, d) for x, c, d in parents if x == k]
+        if not any(c <= t and (d is None or d > t) for c, d in own):
+            want.add((o, "parents", "missing" if not own else "late" if all(c > t for c, _ in own) else "deleted", t.strftime("%Y-%m")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for partitions in (1, 5):
+            assert {tuple(x) for x in orphan_references(df, "o", "t", [("k", "parents", p, "k", "c", "d")], partitions).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
