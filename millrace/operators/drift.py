@@ -1,9 +1,15 @@
-"""Field lists that drift between the versions of a feed.
-
-Neighbouring versions are matched by similarity flooding: both field lists become graphs (order, type and nesting
-edges), initial scores from names flow along equal edges of the pair graph until they settle, and mutually best pairs
-are the correspondences. Shared names are `kept` or `retyped`; other correspondences are candidates for `renamed`, which
-the positional rule then confirms; what is left vanished or appeared.
+"""Schemas that drift between versions: every change, and all records in one consistent table.
+
+Neighbouring versions are matched by similarity flooding. Both schemas become graphs: nodes are fields, types, the two
+ends of each list of fields and the records that hold them; edges lead from a field to the next one, to its type and to the
+record it is nested in. Pairs of nodes start with the similarity of their names; each takes in the scores of the pairs that
+equal edges lead to, until nothing moves. The damping makes every round halve what still moves, so this ends without a cap.
+From the scores, consistent correspondences are selected: a name that both versions have is its own counterpart, and each
+other field has at most one, the pair being the best for both. Changes follow from the correspondences; of those between
+different names the contract's positional rule counts as `renamed` only what also keeps its place and type.
+
+`field_changes` compares two field lists, `version_changes` those of all feeds, `unite` casts the records of drifting
+tables to unified types and unites them.
 """
 
 from __future__ import annotations
@@ -14,17 +20,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.core.runtime import map_arrow, materialise, sorted_scan
 from millrace.functions.definitions import xml_definition, xml_root
 
 #: step types whose field list is the feed's input (fixed values)
 INPUT_TYPES = ("CsvInput", "CSVInput", "TextFileInput", "ExcelInput")
-#: types a value of the first can be cast to without loss, per target; anything else meets at String
-_WIDER = {("integer", "number"): "Number", ("integer", "bignumber"): "BigNumber", ("number", "bignumber"): "BigNumber"}
-_NAME_WEIGHT, _ROUNDS, _SETTLED = 0.3, 64, 1e-4
+#: the part of a pair's score that is its own, and of names that are alike but not equal; when scores count as settled
+_OWN, _NAME_WEIGHT, _SETTLED = 0.5, 0.3, 1e-6
 _VERSIONS = "id string, project_id string, feed string, created_at timestamp_ntz, names array<string>, types array<string>"
 _CHANGES = "kind string, feed_key string, file_id string, field_name string, old_name string, old_type string, new_type string, pid int, names array<string>, types array<string>"
 
@@ -76,54 +82,87 @@ def _alike(a: str, b: str) -> float:
     return 1.0 if a == b else _NAME_WEIGHT * SequenceMatcher(None, a, b, False).ratio()
 
 
-def flood(old: list[str], old_types: list[str], new: list[str], new_types: list[str]) -> np.ndarray:
+def flood(old: list[str], old_types: list[str], new: list[str], new_types: list[str], old_parents: list[int] | None = None, new_parents: list[int] | None = None) -> np.ndarray:
     """Scores (old x new) of all pairs of fields after similarity flooding.
 
-    Nodes of a schema graph are its fields, the two ends of its list, and its types; edges lead from field to next field
-    and from field to type. Pairs of nodes exchange their scores along equal edges, each node sharing its score equally
-    among its edges of one kind, until nothing changes by more than 1e-4.
+    `old_parents`, `new_parents`: the position of the record a field is nested in, -1 (the default) for the outermost.
+    Fields follow each other within their record. A pair's score is half its name's similarity and half the mean of what
+    flows in: the pair before and the pair after (the ends of a list are a pair of their own, ends and fields none), the
+    pair of the types, and the pair of the records. Types and records are scored likewise, from the best of their fields.
+    Every flow is a mean or a maximum, so a round moves no score by more than half of what moved before.
     """
-    n, m = len(old) + 2, len(new) + 2
-    first = np.zeros((n, m))
-    first[0, 0] = first[-1, -1] = 1.0
-    for i, a in enumerate(old):
-        for j, b in enumerate(new):
-            first[i + 1, j + 1] = _alike(a, b)
+    n, m = len(old), len(new)
+    if not n or not m:
+        return np.zeros((n, m))
+    up, up2 = np.array(old_parents or [-1] * n), np.array(new_parents or [-1] * m)
+    own = np.array([[_alike(a, b) for b in new] for a in old])
     kinds, kinds2 = sorted(set(old_types)), sorted(set(new_types))
-    of = np.array([[float(t == k) for k in kinds] for t in old_types]).reshape(len(old), len(kinds))
-    of2 = np.array([[float(t == k) for k in kinds2] for t in new_types]).reshape(len(new), len(kinds2))
-    same = np.array([[float(a == b) for b in kinds2] for a in kinds]).reshape(len(kinds), len(kinds2))
-    s, kind = first.copy(), same.copy()
-    for _ in range(_ROUNDS):
-        up = first.copy()
-        up[1:, 1:] += s[:-1, :-1]
-        up[:-1, :-1] += s[1:, 1:]
-        if len(old) and len(new):
-            share = np.maximum(of.sum(0)[:, None] * of2.sum(0)[None, :], 1)
-            up[1:-1, 1:-1] += of @ (kind / share) @ of2.T
-            flow = same + of.T @ s[1:-1, 1:-1] @ of2 / share
-            kind = flow / max(flow.max(), 1e-12)
-        up /= up.max()
-        moved = np.abs(up - s).max()
-        s = up
+    kind, kind2 = np.array([kinds.index(t) for t in old_types]), np.array([kinds2.index(t) for t in new_types])
+    same = np.array([[float(a == b) for b in kinds2] for a in kinds])
+    (before, after), (before2, after2) = _neighbours(up), _neighbours(up2)
+    sides = [(np.maximum(x, 0)[:, None], np.maximum(y, 0)[None, :], ((x[:, None] >= 0) & (y[None, :] >= 0)).astype(float), ((x[:, None] < 0) & (y[None, :] < 0)).astype(float)) for x, y in ((before, before2), (after, after2), (up, up2))]
+    inside = sides[2][2] > 0
+    holders = (np.broadcast_to(up[:, None], (n, m))[inside], np.broadcast_to(up2[None, :], (n, m))[inside])
+    has = np.isin(np.arange(n), up)[:, None] & np.isin(np.arange(m), up2)[None, :]
+    by_kind = (np.repeat(kind, m), np.tile(kind2, n))
+    s, t, root = own, same, 1.0
+    while True:
+        # the ends of two lists are alike, an end and a field aren't; the outermost records are a pair of their own
+        flow = (sum(s[x, y] * within + alike * (root if i == 2 else 1.0) for i, (x, y, within, alike) in enumerate(sides)) + t[kind[:, None], kind2[None, :]]) / 4
+        if has.any():
+            nested = np.zeros_like(s)  # the best pair of fields within two records
+            np.maximum.at(nested, holders, s[inside])
+            flow = np.where(has, (4 * flow + nested) / 5, flow)
+        best = np.zeros_like(t)
+        np.maximum.at(best, by_kind, s.ravel())
+        next_, next_t, next_root = _OWN * own + (1 - _OWN) * flow, _OWN * same + (1 - _OWN) * best, _OWN + (1 - _OWN) * s.max()
+        moved = max(np.abs(next_ - s).max(), np.abs(next_t - t).max(), abs(next_root - root))
+        s, t, root = next_, next_t, next_root
         if moved < _SETTLED:
-            break
-    return s[1:-1, 1:-1]
-
-
-def correspondences(old: list[str], old_types: list[str], new: list[str], new_types: list[str]) -> list[tuple[int, int]]:
-    """Pairs of fields: shared names, and of the others those that are the best for each other (ties included)."""
-    at = {b: j for j, b in enumerate(new)}
-    pairs = [(i, at[a]) for i, a in enumerate(old) if a in at]
-    gone = [i for i, a in enumerate(old) if a not in at]
-    come = [j for j, b in enumerate(new) if b not in set(old)]
-    if gone and come:
-        s = flood(old, old_types, new, new_types)[np.ix_(gone, come)]
-        best = (s >= s.max(1, keepdims=True) - 1e-9) & (s >= s.max(0, keepdims=True) - 1e-9)
-        pairs += [(gone[i], come[j]) for i, j in np.argwhere(best)]
+            return s
+
+
+def _neighbours(parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The field before and after each one within its record; -1 at the ends."""
+    before, after, last = np.full(len(parents), -1), np.full(len(parents), -1), {}
+    for i, p in enumerate(parents.tolist()):
+        if p in last:
+            before[i], after[last[p]] = last[p], i
+        last[p] = i
+    return before, after
+
+
+def correspondences(old: list[str], old_types: list[str], new: list[str], new_types: list[str], old_parents: list[int] | None = None, new_parents: list[int] | None = None) -> list[tuple[int, int]]:
+    """The selected pairs: names that both have, and of the others those that are the best for each other.
+
+    Among the others, pairs are taken by falling score (ties: by position), each field once. A pair stands only if both
+    fields have no better one left, which taking them in this order makes sure of.
+    """
+    path = lambda names, parents: [_path(names, parents, i) for i in range(len(names))]
+    a, b = path(old, old_parents), path(new, new_parents)
+    at = {x: j for j, x in enumerate(b)}
+    pairs = [(i, at[x]) for i, x in enumerate(a) if x in at]
+    gone, come = [i for i, x in enumerate(a) if x not in at], [j for j, x in enumerate(b) if x not in set(a)]
+    if not gone or not come:
+        return pairs
+    s = flood(old, old_types, new, new_types, old_parents, new_parents)
+    left, right = set(gone), set(come)
+    for _, i, j in sorted((-round(s[i, j], 5), i, j) for i in gone for j in come):
+        if i in left and j in right:
+            pairs.append((i, j))
+            left.discard(i)
+            right.discard(j)
     return pairs
 
 
+def _path(names: list[str], parents: list[int] | None, i: int) -> tuple[str, ...]:
+    out = [names[i]]
+    while parents and parents[i] >= 0:
+        i = parents[i]
+        out.insert(0, names[i])
+    return tuple(out)
+
+
 def field_changes(old: list[str], old_types: list[str], new: list[str], new_types: list[str]) -> list[tuple[str, str, str | None, str | None, str | None]]:
     """(kind, field, old name, old type, new type) of every change between two field lists."""
     if old == new and old_types == new_types:
@@ -216,15 +255,6 @@ def feed_changes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     return changes.select("file_id", F.col("kind").alias("change_kind"), "field_name").distinct()
 
 
-def wider_type(a: str | None, b: str | None) -> str | None:
-    """The type both can be cast to; order and letter case don't matter."""
-    if a is None or b is None:
-        return a or b
-    if a.lower() == b.lower():
-        return a
-    return _WIDER.get((a.lower(), b.lower())) or _WIDER.get((b.lower(), a.lower())) or "String"
-
-
 def unified_fields(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """One consistent table of all declared fields of all versions.
 
@@ -244,3 +274,133 @@ def unified_fields(files: DataFrame, partitions: int | None = None) -> DataFrame
     out = fields.join(types, eq("project_id", "tp") & eq("feed", "tf") & eq("field_name", "tn"), "left")
     out = out.join(renames, eq("project_id", "rp") & eq("feed", "rf") & eq("field_name", "rn"), "left")
     return out.select("file_id", "project_id", "feed", "field_position", "field_name", "declared_type", "unified_type", "renamed_to")
+
+
+#: pairs of different names in tables are one column from this score on: both neighbours and the type agree, or one of the
+#: neighbours, the type and most of the name
+_MATCHED = 0.45
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def unified_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that values of both can be cast to: the wider number, the timestamp for dates, else string. Whole numbers
+    beside doubles become doubles, which are exact up to 2^53."""
+    x, y = a.simpleString(), b.simpleString()
+    if x == y:
+        return a
+    if x in _WHOLE and y in _WHOLE:
+        return max(a, b, key=lambda t: _WHOLE.index(t.simpleString()))
+    if {x, y} <= {*_WHOLE, "float", "double"}:
+        return T.DoubleType()
+    digits = {"tinyint": (3, 0), "smallint": (5, 0), "int": (10, 0), "bigint": (19, 0)}
+    size = [(t.precision, t.scale) if isinstance(t, T.DecimalType) else digits.get(t.simpleString()) for t in (a, b)]
+    if all(size):
+        scale = max(q for _, q in size)
+        whole = max(p - q for p, q in size)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+    if {x, y} <= {"date", "timestamp", "timestamp_ntz"}:
+        return a if y == "date" else b if x == "date" else T.TimestampType()
+    return T.StringType()
+
+
+def _schema_graph(schema: T.StructType) -> tuple[list[str], list[str], list[int], list[T.DataType]]:
+    """Names in lower case, types, records they are nested in, and data types of all fields, records included."""
+    names, kinds, parents, types = [], [], [], []
+
+    def walk(fields: T.StructType, parent: int) -> None:
+        for f in fields:
+            names.append(f.name.lower())
+            kinds.append("struct" if isinstance(f.dataType, T.StructType) else f.dataType.simpleString())
+            parents.append(parent)
+            types.append(f.dataType)
+            if isinstance(f.dataType, T.StructType):
+                walk(f.dataType, len(names) - 1)
+
+    walk(schema, -1)
+    return names, kinds, parents, types
+
+
+def unite(versions: list[tuple[str, DataFrame]], version: str = "version") -> tuple[DataFrame, list[tuple[str, str, str, str | None, str | None, str | None]]]:
+    """(one table of all records, changes) of tables whose schemas drift, in order.
+
+    Neighbouring schemas are matched by flooding; fields that correspond are one column, which has the last of their names
+    and the type that all of theirs can be cast to. Fields of nested records become columns named by their path (`a_b`);
+    fields that a version lacks are null. Names are compared without letter case; a field that comes back under its name
+    is the same column. The column `version` (or `_version`, where a field has that name) tells which table a record is
+    from. changes: (version, kind, name, old name, old type, new type), kind being added, removed, renamed or retyped.
+    Repeated records stay; a table without rows adds its columns only.
+    """
+    columns: list[dict] = []  # name, type
+    at: list[dict[int, int]] = []  # of each version: field -> column
+    changes: list[tuple] = []
+    last = None
+    for label, df in versions:
+        names, kinds, parents, types = graph = _schema_graph(df.schema)
+        paths = ["_".join(_path(names, parents, i)) for i in range(len(names))]
+        own: dict[int, int] = {}
+        if last is not None:
+            was, old_paths, (o_names, o_kinds, o_parents, o_types) = last
+            s = flood(o_names, o_kinds, names, kinds, o_parents, parents)
+            for i, j in correspondences(o_names, o_kinds, names, kinds, o_parents, parents):
+                same = old_paths[i] == paths[j]
+                if i in was and kinds[j] != "struct" and (same or s[i, j] >= _MATCHED and unified_type(o_types[i], types[j]).simpleString() != "string" or s[i, j] >= _MATCHED and o_kinds[i] == kinds[j]):
+                    own[j] = was[i]
+                    if not same:
+                        changes.append((label, "renamed", paths[j], old_paths[i], o_kinds[i], kinds[j]))
+                    if o_kinds[i] != kinds[j]:
+                        changes.append((label, "retyped", paths[j], old_paths[i], o_kinds[i], kinds[j]))
+            changes += [(label, "removed", old_paths[i], old_paths[i], o_kinds[i], None) for i, c in was.items() if c not in own.values()]
+        for j, path in enumerate(paths):
+            if kinds[j] == "struct":
+                continue
+            if j not in own:
+                back = [c for c, x in enumerate(columns) if x["name"] == path and c not in own.values()]
+                own[j] = back[0] if back else len(columns)
+                if not back:
+                    columns.append({"name": path, "type": types[j]})
+                if last is not None:
+                    changes.append((label, "added", path, None, None, kinds[j]))
+            x = columns[own[j]]
+            x["name"], x["type"] = path, unified_type(x["type"], types[j])
+        at.append(own)
+        last = own, paths, graph
+    taken: list[str] = []
+    for x in columns:
+        while x["name"] in taken:
+            x["name"] = "_" + x["name"]
+        taken.append(x["name"])
+    while version.lower() in taken:
+        version = "_" + version
+    parts = []
+    for (label, df), own in zip(versions, at, strict=True):
+        names, _, parents, _ = _schema_graph(df.schema)
+        real = _real_paths(df.schema)
+        field = {c: j for j, c in own.items()}
+        parts.append(df.select(F.lit(label).alias(version), *[(F.col(real[field[c]]) if c in field else F.lit(None)).cast(x["type"]).alias(x["name"]) for c, x in enumerate(columns)]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out, changes
+
+
+def _real_paths(schema: T.StructType, before: str = "") -> list[str]:
+    out = []
+    for f in schema:
+        path = f"{before}`{f.name.replace('`', '``')}`"
+        out.append(path)
+        if isinstance(f.dataType, T.StructType):
+            out += _real_paths(f.dataType, path + ".")
+    return out
+
+
+def read_versions(spark: SparkSession, paths: list[str], format_: str = "parquet", **options) -> list[tuple[str, DataFrame]]:
+    """(first path, table) of each stretch of files with one schema, in the order of `paths`: the versions for `unite`. Only
+    schemas come to the driver; files that share one are read together, so the plan grows with the drift alone."""
+    out: list[tuple[list[str], T.StructType]] = []
+    for path in paths:
+        schema = spark.read.format(format_).options(**options).load(path).schema
+        if out and out[-1][1] == schema:
+            out[-1][0].append(path)
+        else:
+            out.append(([path], schema))
+    return [(ps[0], spark.read.format(format_).options(**options).schema(schema).load(ps)) for ps, schema in out]

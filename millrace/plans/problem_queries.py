@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.core.runtime import iso_millis, table
+from millrace.core.runtime import iso_millis, shared_dir, table
 from millrace.operators import badrows, drift, intervals, nested, references, skew
 
 LONGEST_GAP_DAYS = 7
@@ -78,6 +80,19 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_fields(table(spark, d, "project_files"))
 
 
+def p5_united(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as three systems wrote them, in files of their own: one field renamed, two retyped, one gone, one
+    added; read as one table."""
+    o = table(spark, d, "sales_orders")
+    year = F.coalesce(F.year("ordered_at"), F.lit(0))
+    folder = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+    o.where(year <= 2022).select("order_id", "customer_id", "product_id", "quantity", "unit_price", "status").write.parquet(f"{folder}/1")
+    o.where(year == 2023).select("order_id", F.col("customer_id").alias("client_id"), "product_id", F.col("quantity").cast("bigint").alias("quantity"), "unit_price").write.parquet(f"{folder}/2")
+    o.where(year >= 2024).select("order_id", F.col("customer_id").alias("client_id"), "product_id", "quantity", F.floor("unit_price").cast("int").alias("unit_price"), "loaded_at").write.parquet(f"{folder}/3")
+    united, _ = drift.unite(drift.read_versions(spark, [f"{folder}/{i}" for i in (1, 2, 3)]))
+    return united.drop("version")
+
+
 def _totals(spark: SparkSession, d: str) -> DataFrame:
     return skew.key_totals(table(spark, d, "sales_orders"), ["customer_id", "product_id"], "order_id", "quantity", "unit_price")
 
@@ -91,7 +106,7 @@ def p6_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [p1_found, p1_busy_time, p2_found, p3_found, p3_good, p4_found, p4_report, p5_found, p5_unified, p6_found, p6_per_key]
+    named = [p1_found, p1_busy_time, p2_found, p3_found, p3_good, p4_found, p4_report, p5_found, p5_unified, p5_united, p6_found, p6_per_key]
     return {f.__name__: f for f in named} | {f"p2_{k}": _nested(k) for k in nested.TABLES}
 
 
@@ -136,6 +151,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_good": _P3 + "SELECT raw_id, CAST(v[1] AS BIGINT) order_id, nullif(v[2], '') customer_id, nullif(v[3], '') product_id, try_cast(nullif(v[4], '') AS INTEGER) quantity, try_cast(nullif(v[5], '') AS DOUBLE) unit_price, nullif(v[6], '') status FROM w WHERE reason IS NULL",
         "p4_found": _P4 + "SELECT * FROM f",
         "p4_report": _P4 + "SELECT ref_table, ym, reason, count(*) orders FROM f GROUP BY ALL",
+        "p5_united": """SELECT order_id, customer_id AS client_id, product_id, CAST(quantity AS BIGINT) AS quantity, CASE WHEN year(ordered_at) >= 2024 THEN floor(unit_price) ELSE unit_price END AS unit_price,
+  CASE WHEN coalesce(year(ordered_at), 0) <= 2022 THEN status END AS status, CASE WHEN year(ordered_at) >= 2024 THEN loaded_at END AS loaded_at FROM sales_orders""",
         "p6_found": _P6 + f"SELECT field_name, key_value FROM o WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM sales_orders)",
         "p6_per_key": _P6 + "SELECT field_name, key_value, count(*) n_rows, CAST(sum(quantity) AS BIGINT) quantity, CAST(sum(quantity * CAST(unit_price AS DECIMAL(18,6))) AS DOUBLE) revenue FROM o GROUP BY ALL",
     }

@@ -1,10 +1,13 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 
-from millrace.operators.drift import correspondences, feed_changes, feed_name, feed_versions, field_changes, unified_fields
+from millrace.operators import drift
+from millrace.operators.drift import correspondences, feed_changes, feed_name, feed_versions, field_changes, flood, read_versions, unified_fields, unified_type, unite
 
 NAMES = ["customer_id", "customer_key", "order_date", "order_day", "amount", "total_amount", "x", "y"]
 
@@ -108,3 +111,43 @@ def test_damaged_null_empty_and_unified(spark):
     fields = {(r["file_id"], r["field_name"], r["declared_type"], r["unified_type"]) for r in unified_fields(df).collect()}
     assert ("1", "a", "integer", "number") in fields and ("4", "b", "string", "string") in fields and ("5", "z", "number", "number") in fields
     assert feed_changes(df.limit(0)).count() == 0 and feed_versions(df).count() == 4
+
+
+def test_flooding_settles_and_decides():
+    """Two fields vanish and two appear in one place: order, names and types tell which is which."""
+    old, new = ["id", "cust_name", "fax", "total"], ["id", "customer_name", "loyalty", "total"]
+    kinds = ["integer", "string", "string", "number"]
+    assert set(correspondences(old, kinds, new, kinds)) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    s = flood(old, kinds, new, kinds)
+    assert s[1, 1] > max(s[1, 2], s[2, 1]) and s[0, 0] > 0.8
+    swapped = correspondences(["id", "a", "b", "t"], ["integer", "string", "number", "date"], ["id", "x", "y", "t"], ["integer", "number", "string", "date"])
+    assert (0, 0) in swapped and (3, 3) in swapped and len(swapped) == 4
+    assert flood([], [], new, kinds).shape == (0, 4)
+
+
+def test_records_are_united(spark, monkeypatch):
+    one = spark.createDataFrame([(1, "Ann", 5, ("x", 1)), (2, None, None, None)], "id int, cust_name string, n int, addr struct<city string, zip int>")
+    two = spark.createDataFrame([(2**40, "Bob", 2.5, ("y", 7))], "ID long, customer_name string, n double, addr struct<city string, zip_code int>")
+    three = spark.createDataFrame([("Cy", 1.0, True, "v")], "customer_name string, n double, cust_name boolean, version string")
+    got, changes = unite([("1", one), ("2", two), ("3", three), ("4", three.limit(0))])
+    assert got.dtypes == [("_version", "string"), ("id", "bigint"), ("customer_name", "string"), ("n", "double"), ("addr_city", "string"), ("addr_zip_code", "int"), ("cust_name", "boolean"), ("version", "string")]
+    assert {tuple(r) for r in got.collect()} == {("1", 1, "Ann", 5.0, "x", 1, None, None), ("1", 2, None, None, None, None, None, None), ("2", 2**40, "Bob", 2.5, "y", 7, None, None), ("3", None, "Cy", 1.0, None, None, True, "v")}
+    assert {c[:4] for c in changes} == {("2", "retyped", "id", "id"), ("2", "renamed", "customer_name", "cust_name"), ("2", "retyped", "n", "n"), ("2", "renamed", "addr_zip_code", "addr_zip"), ("3", "removed", "id", "id"), ("3", "removed", "addr_city", "addr_city"), ("3", "removed", "addr_zip_code", "addr_zip_code"), ("3", "added", "cust_name", None), ("3", "added", "version", None)}
+    # without flooding nothing but equal names corresponds
+    monkeypatch.setattr(drift, "flood", lambda a, b, c, d, *_: np.zeros((len(a), len(c))))
+    other, _ = unite([("1", one), ("2", two)])
+    assert "cust_name" in other.columns and "customer_name" in other.columns
+
+
+def test_unified_types():
+    of = lambda a, b: unified_type(T._parse_datatype_string(a), T._parse_datatype_string(b)).simpleString()
+    assert of("int", "bigint") == "bigint" and of("int", "double") == "double" and of("date", "timestamp_ntz") == "timestamp_ntz" and of("int", "boolean") == "string"
+
+
+def test_files_of_one_schema_are_read_together(spark, tmp_path):
+    for i, cols in enumerate((["id", "id AS a"], ["id + 10 AS id", "id AS a"], ["id + 20 AS id", "CAST(id AS string) AS a"])):
+        spark.range(3).selectExpr(*cols).write.parquet(str(tmp_path / str(i)))
+    versions = read_versions(spark, [str(tmp_path / str(i)) for i in range(3)])
+    assert [df.count() for _, df in versions] == [6, 3]
+    got, changes = unite(versions)
+    assert {(r["id"], r["a"]) for r in got.collect()} == {(i + 10 * k, str(i)) for k in range(3) for i in range(3)} and [c[1] for c in changes] == ["retyped"]
