@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 #: a range partition of a sorted scan holds about so many stored bytes
 PARTITION_BYTES = 64 << 20
 _written: dict[str, SparkSession] = {}
-_scopes: list[list[str]] = []
+#: the lists of tables to remove at the end of the blocks that this thread of work is in
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,13 +45,29 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
 
 
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file of these bytes in the shared folder, which is removed like a materialised table."""
+    folder = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    fs, p = _hadoop(spark, path)
+    out = fs.create(p)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    _written[folder] = spark
+    for scope in _scopes.get():
+        scope.append(folder)
+    return path
+
+
 def release(*dfs: DataFrame) -> None:
     """Remove the tables behind results of `materialise` that nothing reads any more."""
     for df in dfs:
@@ -61,11 +79,11 @@ def release(*dfs: DataFrame) -> None:
 def scratch():
     """Tables that are materialised inside are removed at the end: for runs whose results are written or fetched by then."""
     paths: list[str] = []
-    _scopes.append(paths)
+    token = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        _scopes.remove(paths)
+        _scopes.reset(token)
         for path in paths:
             _remove(path)
 

@@ -1,5 +1,8 @@
 """Frames: a DataFrame with positional fields, logical names, and an order that costs nothing until it is needed.
 
+The order of a scan has no column at first: steps that keep rows in their place, or drop some, leave it as it is, so
+filters reach the scan; the first step that moves rows has it written down by `ordered()`.
+
 Fields are the physical columns c0, c1, ...; names may repeat, as joins concatenate. `order` names further physical
 columns that define the row order. Steps that don't depend on the order carry them along; those that do ask for
 `positioned()`, which numbers the rows without ever sorting all of them in one task.
@@ -38,17 +41,37 @@ class Frame:
     order: tuple[Order, ...] = ()
     text: bool = False  # string profile: every field is a string
     total: int | None = None  # number of rows, where `positioned` counted them
+    scan: bool = False  # the order is that of df's partitions and rows, and has no column yet
 
     @classmethod
     def of(cls, df: DataFrame, order: list[str] | None = None, text: bool = False) -> Frame:
         """`order`: columns of df by which its rows are ordered; without, the order of the scan."""
         fields = [F.col(f"`{c}`").cast("string") if text else F.col(f"`{c}`") for c in df.columns]
-        if order is None:
-            keys = [F.monotonically_increasing_id().alias("__o0")]
-        else:
-            keys = [F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(order)]
+        keys = [F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(order or [])]
         out = df.select(*[f.alias(f"c{i}") for i, f in enumerate(fields)], *keys)
-        return cls(out, tuple(df.columns), tuple(Order(f"__o{i}") for i in range(len(keys))), text)
+        return cls(out, tuple(df.columns), tuple(Order(f"__o{i}") for i in range(len(keys))), text, scan=order is None)
+
+    def ordered(self) -> Frame:
+        """The frame with its order in columns."""
+        if not self.scan:
+            return self
+        return replace(self, df=self.df.withColumn("__o0", F.monotonically_increasing_id()), order=(Order("__o0"),), scan=False)
+
+    def place(self) -> Column | None:
+        """One column by which the rows are in order, ascending; None where there is none (a descending order)."""
+        if any(o.descending for o in self.order) or not self.order:
+            return None
+        one = self.order[0].column
+        if len(self.order) == 1 and not self.df.schema[one].nullable:
+            return F.col(one)
+        return F.struct(*[x for o in self.order for x in (F.col(o.column).isNull(), F.col(o.column))])
+
+    def placed(self) -> tuple[Frame, Column]:
+        """A frame with such a column, numbered only if need be."""
+        f = self.ordered()
+        if f.place() is None:
+            f = f.positioned()
+        return f, f.place()
 
     @property
     def width(self) -> int:
@@ -144,7 +167,7 @@ class Frame:
             start += k
         offsets = self.df.sparkSession.createDataFrame(rows, "__p long, __b long")
         df = run.withColumn("__p", part).join(F.broadcast(offsets), "__p").select(*self.fields(), (F.col("__b") + at).alias(POS))
-        return replace(self, df=df, order=(Order(POS),), total=start)
+        return replace(self, df=df, order=(Order(POS),), total=start, scan=False)
 
     def with_previous(self, columns: list[Column]) -> Frame:
         """A positioned frame with `__prev`, the struct of these columns in the row before (null in the first).

@@ -43,7 +43,7 @@ def string_operation(c: Column, operation: str) -> Column:
         case "lower":
             return F.lower(c)
         case "initcap":
-            return F.initcap(F.regexp_replace(c, r"\s+", " "))
+            return F.initcap(F.regexp_replace(F.regexp_replace(c, r"\A\s+|\s+\z", ""), r"\s+", " "))
     return java_trim(c)
 
 
@@ -53,7 +53,7 @@ def compare(c: Column, operator: str, value: str | None, numeric: Column | None
     op = operator.upper()
     s = c.cast("string")
     v = F.lit(value)
-    if op in ("NEQ", "<>", "!="):
+    if op in ("NEQ", "NE", "NOT_EQUAL", "<>", "!="):
         got = s != v if value is not None else c.isNotNull()
     elif op in ("CONTAINS", "STARTS_WITH", "ENDS_WITH"):
         got = {"CONTAINS": s.contains, "STARTS_WITH": s.startswith, "ENDS_WITH": s.endswith}[op](F.lit(value or ""))

@@ -134,7 +134,7 @@ def _pairs(f: Frame, p: Params) -> Iterator[tuple]:
     return f.sorted().select(*columns).toLocalIterator()
 
 
-@step("ProcessFiles", effect=True)
+@step("ProcessFiles", effect=True, narrow=True)
 def process_files(ins: list[Frame], p: Params, c: Context) -> Frame:
     """COPY, MOVE or DELETE, in order; the first failure stops the pipeline."""
     operation = p.text("operation", "COPY").upper()
@@ -147,7 +147,7 @@ def process_files(ins: list[Frame], p: Params, c: Context) -> Frame:
     return ins[0]
 
 
-@step("ZipFile", effect=True)
+@step("ZipFile", effect=True, narrow=True)
 def zip_file(ins: list[Frame], p: Params, c: Context) -> Frame:
     for source, target in _pairs(ins[0], p):
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:

@@ -48,8 +48,8 @@ def stream_lookup(ins: list[Frame], p: Params, c: Context) -> Frame:
     own = [look.index(x) for x in p.items_of("keyLookupCols")]
     values = [look.index(x) for x in p.items_of("valueFieldCols")]
     names = p.items_of("valueRenames") or [look.names[v] for v in values]
-    first = look if len(look.order) == 1 and not look.order[0].descending else look.positioned()
-    picked = F.min_by(F.struct(*[first.col(v).alias(f"v{k}") for k, v in enumerate(values)]), first.order[0].column).alias("__v")
+    first, place = look.placed()
+    picked = F.min_by(F.struct(*[first.col(v).alias(f"v{k}") for k, v in enumerate(values)]), place).alias("__v")
     table = first.df.groupBy(*[first.col(k).alias(f"__k{i}") for i, k in enumerate(own)]).agg(picked)
     if not own:
         table = table.where(F.col("__v").isNotNull())
@@ -80,11 +80,10 @@ def join_rows(ins: list[Frame], p: Params, c: Context) -> Frame:
 def merge_rows(ins: list[Frame], p: Params, c: Context) -> Frame:
     """Rows of the second input flagged new, identical or changed against the first, then the first's that are gone,
     flagged deleted. Of reference rows with one key the last counts."""
-    ref, new = ins[0].positioned(), ins[1]
-    width = max(ref.width, new.width)
-    ref, new = ref.padded(width), new.padded(width)
+    width = max(x.width for x in ins[:2])
+    (ref, at), new = ins[0].padded(width).placed(), ins[1].padded(width)
     keys = [ref.index(x) for x in p.items_of("keyColumns") or ["0"]]
-    last = ref.df.groupBy(*[F.col(f"c{k}").alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*[F.col(f"c{k}").alias(f"r{k}") for k in range(width)]), ref.order[0].column).alias("__r"), F.max(ref.order[0].column).alias("__rp"))
+    last = ref.df.groupBy(*[F.col(f"c{k}").alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*[F.col(f"c{k}").alias(f"r{k}") for k in range(width)]), at).alias("__r"), F.max(at).alias("__rp"))
     own = new.df.withColumn("__in", F.lit(1))
     df = own.join(last, reduce(Column.__and__, [F.col(f"c{k}").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]), "full")
     gone, fresh = F.col("__in").isNull(), F.col("__r").isNull()

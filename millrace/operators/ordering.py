@@ -36,12 +36,12 @@ def append(ins: list[Frame], p: Params, c: Context) -> Frame:
     return concat_orders(ins)
 
 
-@step("BlockingStep")
+@step("BlockingStep", narrow=True)
 def blocking(ins: list[Frame], p: Params, c: Context) -> Frame:
     return ins[0]
 
 
-@step("Sequence")
+@step("Sequence", narrow=True)
 def sequence(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0].positioned()
     n = F.lit(p.integer("start", 1)) + F.lit(p.integer("increment", 1)) * F.col(POS)
@@ -50,8 +50,19 @@ def sequence(ins: list[Frame], p: Params, c: Context) -> Frame:
 
 @step("DetectLastRow")
 def detect_last_row(ins: list[Frame], p: Params, c: Context) -> Frame:
-    f = ins[0].positioned()
-    return f.append((F.col(POS) == (f.total or 0) - 1).cast("string"), names=p.items_of("name") or None)
+    """`true` in the last row, found by its place; only if several rows share that are the rows numbered."""
+    f, at = ins[0].placed()
+    if any(f.df.schema[k].dataType.typeName() == "struct" for k in f.keep()):
+        f = f.positioned()
+        at = f.place()
+    last = f.df.agg(F.max_by(F.struct(*[F.col(k) for k in f.keep()]), at).alias("v")).first()["v"]
+    same = F.lit(True)
+    for k, v in zip(f.keep(), last or (), strict=False):
+        same = same & F.col(k).eqNullSafe(F.lit(v))
+    if last is not None and f.df.where(same).limit(2).count() > 1:
+        f = f.positioned()
+        same = F.col(POS) == (f.total or 0) - 1
+    return f.append(same.cast("string"), names=p.items_of("name") or None)
 
 
 def _changed(f: Frame, fields: list[int]) -> Frame:
@@ -64,7 +75,7 @@ def _changed(f: Frame, fields: list[int]) -> Frame:
     return Frame(g.df.withColumn("__new", new).drop("__prev"), g.names, g.order, g.text, g.total)
 
 
-@step("FieldsChangeSequence")
+@step("FieldsChangeSequence", narrow=True)
 def fields_change_sequence(ins: list[Frame], p: Params, c: Context) -> Frame:
     """A counter that rises whenever the fields change; it isn't reset."""
     f = ins[0]
@@ -75,7 +86,7 @@ def fields_change_sequence(ins: list[Frame], p: Params, c: Context) -> Frame:
     return g.append(scalar.shown(n, f.text), names=p.items_of("name") or None)
 
 
-@step("Unique")
+@step("Unique", narrow=True)
 def unique(ins: list[Frame], p: Params, c: Context) -> Frame:
     """Drops rows that repeat the row before in these fields (none named: in all)."""
     f = ins[0]
@@ -89,25 +100,24 @@ def unique_rows(ins: list[Frame], p: Params, c: Context) -> Frame:
     """The first row of each combination of these fields (none named: of all)."""
     f = ins[0]
     at = [f.index(x) for x in p.items_of("columns")] or list(range(f.width))
-    g = f if len(f.order) == 1 and not f.order[0].descending else f.positioned()
-    key = g.order[0].column
+    g, key = f.placed()
     rest = [i for i in range(f.width) if i not in at]
     first = F.min_by(F.struct(*[F.col(f"c{i}") for i in rest], F.lit(0).alias("__x")), key).alias("__r")
-    df = g.df.groupBy(*[f"c{i}" for i in dict.fromkeys(at)]).agg(first, F.min(key).alias(key))
-    return Frame(df, f.names, g.order, f.text).put([F.col("__r")[f"c{i}"] if i in rest else F.col(f"c{i}") for i in range(f.width)], f.names)
+    df = g.df.groupBy(*[f"c{i}" for i in dict.fromkeys(at)]).agg(first, F.min(key).alias("__o0"))
+    return Frame(df, f.names, (Order("__o0"),), f.text).put([F.col("__r")[f"c{i}"] if i in rest else F.col(f"c{i}") for i in range(f.width)], f.names)
 
 
-def _aggregates(f: Frame, p: Params, unknown) -> tuple[list[int], list, list[str]]:
+def _aggregates(f: Frame, p: Params, unknown, at) -> tuple[list[int], list, list[str]]:
     groups = [f.index(x) for x in p.items_of("groupColumns")]
     columns = [f.index(x) for x in p.items_of("aggColumns")]
     functions = p.items_of("aggFunctions")
-    out = [scalar.aggregate(f.col(i), f.number(i), functions[k] if k < len(functions) else "COUNT", F.col(POS if POS in f.df.columns else f.order[0].column), unknown) for k, i in enumerate(columns)]
+    out = [scalar.aggregate(f.col(i), f.number(i), functions[k] if k < len(functions) else "COUNT", at, unknown) for k, i in enumerate(columns)]
     names = p.items_of("aggNames")
     names = names if len(names) == len(out) else [f"{(functions[k] if k < len(functions) else 'COUNT').lower()}_{f.names[i]}" for k, i in enumerate(columns)]
     return groups, [scalar.shown(a, f.text) for a in out], names
 
 
-@step("GroupBy")
+@step("GroupBy", narrow=True)
 def group_by(ins: list[Frame], p: Params, c: Context) -> Frame:
     """A row for each run of equal keys, in order. An unknown function counts; an empty input gives no row.
 
@@ -116,13 +126,13 @@ def group_by(ins: list[Frame], p: Params, c: Context) -> Frame:
     at = [f.index(x) for x in p.items_of("groupColumns")]
     sort = f.order[: len(at)]
     if at and {o.source for o in sort} == set(at) and not {"FIRST", "LAST"} & {x.upper() for x in p.items_of("aggFunctions")}:
-        groups, aggs, names = _aggregates(f, p, F.count(F.lit(1)))
+        groups, aggs, names = _aggregates(f, p, F.count(F.lit(1)), F.lit(0))
         df = f.df.groupBy(*[F.col(f"c{i}").alias(f"__g{k}") for k, i in enumerate(groups)]).agg(*[a.alias(f"__a{k}") for k, a in enumerate(aggs)] or [F.count(F.lit(1)).alias("__n")])
         df = df.select("*", *[F.col(f"__g{groups.index(o.source)}").alias(f"__o{k}") for k, o in enumerate(sort)])
         return _grouped(df, f, groups, names, tuple(Order(f"__o{k}", o.descending) for k, o in enumerate(sort)))
     g = _changed(f, [f.index(x) for x in p.items_of("groupColumns")])
     g = Frame(running_sum(g.df, "__new", "__run"), g.names, g.order, g.text, g.total)
-    groups, aggs, names = _aggregates(g, p, F.count(F.lit(1)))
+    groups, aggs, names = _aggregates(g, p, F.count(F.lit(1)), F.col(POS))
     keys = [F.col(f"c{i}").alias(f"__g{k}") for k, i in enumerate(groups)]
     df = g.df.groupBy("__run", *keys).agg(F.min(POS).alias("__o0"), *[a.alias(f"__a{k}") for k, a in enumerate(aggs)])
     return _grouped(df, f, groups, names)
@@ -131,12 +141,10 @@ def group_by(ins: list[Frame], p: Params, c: Context) -> Frame:
 @step("MemoryGroupBy")
 def memory_group_by(ins: list[Frame], p: Params, c: Context) -> Frame:
     """A row for each combination of keys, by first appearance. An unknown function gives null; null keys are a group."""
-    f = ins[0]
-    if len(f.order) != 1 or f.order[0].descending:
-        f = f.positioned()
-    groups, aggs, names = _aggregates(f, p, F.lit(None).cast("string"))
+    f, at = ins[0].placed()
+    groups, aggs, names = _aggregates(f, p, F.lit(None).cast("string"), at)
     keys = [F.col(f"c{i}").alias(f"__g{k}") for k, i in enumerate(groups)]
-    df = f.df.groupBy(*keys).agg(F.min(f.order[0].column).alias("__o0"), *[a.alias(f"__a{k}") for k, a in enumerate(aggs)], F.count(F.lit(1)).alias("__n"))
+    df = f.df.groupBy(*keys).agg(F.min(at).alias("__o0"), *[a.alias(f"__a{k}") for k, a in enumerate(aggs)], F.count(F.lit(1)).alias("__n"))
     return _grouped(df.where("__n > 0"), f, groups, names)
 
 
@@ -148,14 +156,11 @@ def _grouped(df, f: Frame, groups: list[int], names: list[str], order: tuple[Ord
 @step("Denormaliser")
 def denormaliser(ins: list[Frame], p: Params, c: Context) -> Frame:
     """A field for each pivot value; the last value of a key wins, absent ones are null, other pivot values count not."""
-    f = ins[0]
-    if len(f.order) != 1 or f.order[0].descending:
-        f = f.positioned()
-    at = f.order[0].column
+    f, at = ins[0].placed()
     keys = [f.index(x) for x in p.items_of("keyColumns")]
     pivot, value = f.col(p.required("pivotColumn")).cast("string"), f.col(p.required("valueColumn"))
     values = p.items_of("pivotValues")
-    picks = [F.max_by(F.struct(value.alias("v")), F.when(pivot == v, F.col(at)))["v"] for v in values]
+    picks = [F.max_by(F.struct(value.alias("v")), F.when(pivot == v, at))["v"] for v in values]
     df = f.df.groupBy(*[F.col(f"c{i}").alias(f"__g{k}") for k, i in enumerate(keys)]).agg(F.min(at).alias("__o0"), F.count(F.lit(1)).alias("__n"), *[F.when(F.count_if(pivot == v) > 0, x).alias(f"__a{k}") for k, (v, x) in enumerate(zip(values, picks, strict=True))])
     columns = [F.col(f"__g{k}") for k in range(len(keys))] + [F.col(f"__a{k}") for k in range(len(values))]
     return Frame(df.where("__n > 0"), (), (Order("__o0"),), f.text).put(columns, [*[f.names[i] for i in keys], *values])

@@ -6,13 +6,13 @@ import os
 
 from pyspark.sql import functions as F
 
-from millrace.frame import POS, Frame
+from millrace.frame import Frame
 from millrace.functions import scalar
 from millrace.functions.formula import compile_formula
 from millrace.registry import Context, Params, step
 
 
-@step("SelectValues")
+@step("SelectValues", narrow=True)
 def select_values(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     at = [f.index(x) for x in p.items_of("columns") or [p.required("columns")]]
@@ -20,13 +20,13 @@ def select_values(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.put([f.col(i) for i in at], names)
 
 
-@step("Constant")
+@step("Constant", narrow=True)
 def constant(ins: list[Frame], p: Params, c: Context) -> Frame:
     values = p.indexed("value")
     return ins[0].append(*[F.lit(v) for v in values], names=_names(ins[0], p, len(values)))
 
 
-@step("SetValueConstant")
+@step("SetValueConstant", narrow=True)
 def set_value_constant(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     i = f.index(p.required("column"))
@@ -34,12 +34,12 @@ def set_value_constant(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.set(i, value if f.text else _like(f, i, value))
 
 
-@step("SetValueField")
+@step("SetValueField", narrow=True)
 def set_value_field(ins: list[Frame], p: Params, c: Context) -> Frame:
     return ins[0].set(ins[0].index(p.required("targetColumn")), ins[0].col(p.required("sourceColumn")))
 
 
-@step("ConcatFields")
+@step("ConcatFields", narrow=True)
 def concat_fields(ins: list[Frame], p: Params, c: Context) -> Frame:
     """Null counts as empty, and its separator stays."""
     f = ins[0]
@@ -47,7 +47,7 @@ def concat_fields(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.append(F.concat_ws(p.text("separator", ""), *parts) if parts else F.lit(""), names=_names(f, p, 1))
 
 
-@step("FieldSplitter")
+@step("FieldSplitter", narrow=True)
 def field_splitter(ins: list[Frame], p: Params, c: Context) -> Frame:
     """The parts take the field's place. Without outputCount one pass finds the widest row."""
     f = ins[0]
@@ -74,7 +74,7 @@ def clone_row(ins: list[Frame], p: Params, c: Context) -> Frame:
     return g.with_order([*[(F.col(o.column), o.descending) for o in g.order], (F.col("__n"), False)], ())
 
 
-@step("Dummy")
+@step("Dummy", narrow=True)
 def dummy(ins: list[Frame], p: Params, c: Context) -> Frame:
     return ins[0]
 
@@ -82,28 +82,28 @@ def dummy(ins: list[Frame], p: Params, c: Context) -> Frame:
 @step("SetVariable")
 def set_variable(ins: list[Frame], p: Params, c: Context) -> Frame:
     """The variable is the field of the last row; no row leaves it as it is."""
-    f = ins[0].positioned()
-    last = f.df.agg(F.max_by(F.struct(f.col(p.required("column")).cast("string").alias("v")), POS)["v"]).first()[0]
+    f, at = ins[0].placed()
+    last = f.df.agg(F.max_by(F.struct(f.col(p.required("column")).cast("string").alias("v")), at)["v"]).first()[0]
     if last is not None:
         c.variables[p.required("variableName")] = last
     return f
 
 
-@step("GetVariable")
+@step("GetVariable", narrow=True)
 def get_variable(ins: list[Frame], p: Params, c: Context) -> Frame:
     name = p.required("variableName")
     value = c.variables.get(name, os.environ.get(name, p.text("defaultValue", "")))
     return ins[0].append(F.lit(value), names=_names(ins[0], p, 1))
 
 
-@step("StringOperations")
+@step("StringOperations", narrow=True)
 def string_operations(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     i = f.index(p.required("column"))
     return f.set(i, scalar.string_operation(f.col(i).cast("string"), p.text("operation", "trim").lower()))
 
 
-@step("ReplaceString")
+@step("ReplaceString", narrow=True)
 def replace_string(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     i = f.index(p.required("column"))
@@ -112,14 +112,14 @@ def replace_string(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.set(i, F.regexp_replace(s, search, new) if p.flag("regex", False) else F.replace(s, F.lit(search), F.lit(new)))
 
 
-@step("StringCut")
+@step("StringCut", narrow=True)
 def string_cut(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     i = f.index(p.required("column"))
     return f.set(i, scalar.substring(f.col(i).cast("string"), p.integer("fromIndex", 0), p.integer("toIndex", -1)))
 
 
-@step("RegexEval")
+@step("RegexEval", narrow=True)
 def regex_eval(ins: list[Frame], p: Params, c: Context) -> Frame:
     """One field for each group of the first match; null without a match. An unmatched group gives null too, and so does
     a group that matched nothing, which Spark's extraction can't tell apart."""
@@ -131,7 +131,7 @@ def regex_eval(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.append(*[F.when(s.rlike(pattern), F.nullif(F.regexp_extract(s, pattern, k + 1), F.lit(""))) for k in range(n)], names=_names(f, p, n))
 
 
-@step("ValueMapper")
+@step("ValueMapper", narrow=True)
 def value_mapper(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     i = f.index(p.required("column"))
@@ -143,7 +143,7 @@ def value_mapper(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.set(i, got)
 
 
-@step("IfNull")
+@step("IfNull", narrow=True)
 def if_null(ins: list[Frame], p: Params, c: Context) -> Frame:
     f, value = ins[0], p.text("defaultValue", "")
     one = p.text("column", "-1")
@@ -151,14 +151,14 @@ def if_null(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.put([F.coalesce(x, F.lit(value) if f.text else _like(f, i, F.lit(value))) if i in at else x for i, x in enumerate(f.fields())], f.names)
 
 
-@step("NullIf")
+@step("NullIf", narrow=True)
 def null_if(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     i = f.index(p.required("column"))
     return f.set(i, F.when(f.col(i).cast("string").eqNullSafe(F.lit(p.text("value"))), None).otherwise(f.col(i)))
 
 
-@step("Calculator")
+@step("Calculator", narrow=True)
 def calculator(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     a = f.number(p.required("colA"))
@@ -166,14 +166,14 @@ def calculator(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.append(scalar.shown(scalar.calculate(a, b, p.text("operation", "ADD")), f.text), names=_names(f, p, 1, "fieldName"))
 
 
-@step("Formula")
+@step("Formula", narrow=True)
 def formula(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     names = [x.strip() for x in p.text("fieldNames", "").split(",")] if p.text("fieldNames") else f.names
     return f.append(compile_formula(p.required("formulaString"), names, f.fields()), names=_names(f, p, 1, "fieldName"))
 
 
-@step("CheckSum")
+@step("CheckSum", narrow=True)
 def check_sum(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     columns = [f.col(x) for x in p.items_of("columns")] or f.fields()
@@ -191,7 +191,7 @@ def split_field_to_rows(ins: list[Frame], p: Params, c: Context) -> Frame:
     return g.with_order([*[(F.col(o.column), o.descending) for o in g.order], (F.col("__n"), False)], ())
 
 
-@step("Validator")
+@step("Validator", narrow=True)
 def validator(ins: list[Frame], p: Params, c: Context) -> Frame:
     f = ins[0]
     s = f.col(p.text("column", "0")).cast("string")
@@ -205,7 +205,7 @@ def validator(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f.append(F.when(s.isNull(), F.lit(p.flag("allowNull", False))).otherwise(good).cast("string"), names=_names(f, p, 1))
 
 
-@step("NumberRange")
+@step("NumberRange", narrow=True)
 def number_range(ins: list[Frame], p: Params, c: Context) -> Frame:
     """The label of the first range that holds the number, both ends included."""
     f = ins[0]

@@ -9,7 +9,7 @@ from millrace.functions.scalar import compare
 from millrace.registry import Context, Params, step
 
 
-@step("FilterRows", router=True)
+@step("FilterRows", router=True, narrow=True)
 def filter_rows(ins: list[Frame], p: Params, c: Context) -> dict[str, Frame]:
     """Rows that pass go to trueStep, the others (null fields among them) to falseStep; where both are one step, it gets
     all rows."""
@@ -28,7 +28,7 @@ def filter_rows(ins: list[Frame], p: Params, c: Context) -> dict[str, Frame]:
     return {t: f.where(w) for t, w in ((yes, passes), (no, fails)) if t}
 
 
-@step("SwitchCase", router=True)
+@step("SwitchCase", router=True, narrow=True)
 def switch_case(ins: list[Frame], p: Params, c: Context) -> dict[str, Frame]:
     f = ins[0]
     s = f.col(p.text("column", "0")).cast("string")
@@ -43,7 +43,7 @@ def switch_case(ins: list[Frame], p: Params, c: Context) -> dict[str, Frame]:
     return {t: f.where(w) for t, w in tests.items()}
 
 
-@step("Abort")
+@step("Abort", narrow=True)
 def abort(ins: list[Frame], p: Params, c: Context) -> Frame:
     """Fails when the first row that meets the condition is read; the check is a filter, so that it is never pruned."""
     f = ins[0]

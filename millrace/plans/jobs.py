@@ -13,6 +13,7 @@ import re
 import smtplib
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field
 from email.message import EmailMessage
 
@@ -162,7 +163,7 @@ def run_job(spark: SparkSession, definition: JobDefinition | str | dict, context
             return bool(ENTRIES[entries[i].type](Params(entries[i].params), c))
 
         for i in topological(list(entries), [(h.from_, h.to) for h in hops]):
-            futures[i] = pool.submit(run, i)
+            futures[i] = pool.submit(copy_context().run, run, i)
         result = {i: f.result() for i, f in futures.items()}
     last = [i for i in entries if not any(h.from_ == i for h in hops)]
     return all(result[i] for i in last if result[i] is not None)

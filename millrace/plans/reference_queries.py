@@ -57,7 +57,7 @@ def _simple() -> None:
     s("set_value_field", "SetValueField", "nation", "n_nationkey n_name n_regionkey", "SELECT n_nationkey, n_name, n_nationkey AS n_regionkey FROM nation", sourceColumn="0", targetColumn="2")
     s("field_splitter", "FieldSplitter", "part", "p_partkey p_name", "SELECT p_partkey, split_part(p_name, ' ', 1) AS a, nullif(split_part(p_name, ' ', 2), '') AS b FROM part", column="1", separator=" ", outputCount="2", out="p_partkey a b")
     s("split_field_to_rows", "SplitFieldToRows3", "part", "p_partkey p_name", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name FROM part", column="1", separator=" ")
-    s("clone_row", "CloneRow", "region", "r_regionkey r_name", "SELECT r_regionkey, r_name FROM region, range(3)", cloneCount="3")
+    s("clone_row", "CloneRow", "orders", "o_orderkey o_custkey", "SELECT o_orderkey, o_custkey FROM orders, range(3)", cloneCount="3")
     for op, sql in {"trim": "trim(p_name)", "ltrim": "ltrim(p_name)", "rtrim": "rtrim(p_name)", "upper": "upper(p_name)", "lower": "lower(p_name)", "initcap": "array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN string_split(p_name, ' ')], ' ')"}.items():
         s(f"string_{op}", "StringOperations", "part", "p_partkey p_name", f"SELECT p_partkey, {sql} AS p_name FROM part", column="1", operation=op)
     s("replace_string_literal", "ReplaceString", "part", "p_partkey p_type", "SELECT p_partkey, replace(p_type, 'A', '<a>') AS p_type FROM part", column="1", search="A", replacement="<a>")
@@ -77,9 +77,12 @@ def _simple() -> None:
     s("checksum_sha256", "CheckSum", "customer", "c_custkey c_name", "SELECT c_custkey, c_name, sha256(c_name) AS h FROM customer", columns="1", algorithm="SHA-256", out="c_custkey c_name h")
     s("validator", "Validator", "part", "p_partkey p_name", "SELECT p_partkey, p_name, CAST(regexp_full_match(p_name, '[a-z ]+') AND length(p_name) BETWEEN 8 AND 14 AS VARCHAR) AS ok FROM part", column="1", pattern="[a-z ]+", minLength="8", maxLength="14", out="p_partkey p_name ok")
     s("number_range", "NumberRange", "lineitem", "l_orderkey l_quantity", "SELECT l_orderkey, l_quantity, CASE WHEN l_quantity BETWEEN 0 AND 10 THEN 'low' WHEN l_quantity BETWEEN 10 AND 30 THEN 'mid' ELSE 'high' END AS band FROM lineitem", column="1", lowerBound__0="0", upperBound__0="10", label__0="low", lowerBound__1="10", upperBound__1="30", label__1="mid", defaultLabel="high", out="l_orderkey l_quantity band")
-    s("dummy", "Dummy", "region", "r_regionkey r_name", "SELECT r_regionkey, r_name FROM region")
-    s("get_variable", "GetVariable", "region", "r_regionkey", "SELECT r_regionkey, 'fallback' AS v FROM region", variableName="NO_SUCH_VARIABLE_HERE", defaultValue="fallback", out="r_regionkey v")
+    s("dummy", "Dummy", "orders", "o_orderkey o_custkey", "SELECT o_orderkey, o_custkey FROM orders")
+    s("get_variable", "GetVariable", "orders", "o_orderkey", "SELECT o_orderkey, 'fallback' AS v FROM orders", variableName="NO_SUCH_VARIABLE_HERE", defaultValue="fallback", out="o_orderkey v")
     # filters
+    s("string_initcap_padded", "StringOperations", "raw_order_lines", "raw_id raw_line", r"SELECT raw_id, regexp_replace(array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN string_split(regexp_replace(trim(regexp_replace(raw_line, '[ \t\n\v\f\r]+', ' ', 'g'), ' '), ' +', ' ', 'g'), ' ')], ' '), ' +', ' ', 'g') AS raw_line FROM raw_order_lines", column="1", operation="initcap")
+    for op in ("ne", "not_equal"):
+        s(f"filter_{op}", "FilterRows", "sales_orders", "order_id customer_id", "SELECT order_id, customer_id FROM sales_orders WHERE customer_id <> 'C000001'", column="1", operator=op.upper(), value="C000001", trueStep="t")
     s("filter_eq", "FilterRows", "orders", "o_orderkey o_orderstatus", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'", column="1", operator="EQ", value="F", trueStep="t")
     s("filter_gt", "FilterRows", "orders", "o_orderkey o_totalprice", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000", column="1", operator="GT", value="200000", trueStep="t")
     s("filter_contains", "FilterRows", "part", "p_partkey p_type", "SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'A')", column="1", operator="CONTAINS", value="A", trueStep="t")
@@ -98,8 +101,8 @@ def _simple() -> None:
     s("detect_last_row", "DetectLastRow", "events", "event_id", "SELECT event_id, CAST(event_id = max(event_id) OVER () AS VARCHAR) AS is_last FROM events", order="event_id", out="event_id is_last")
     s("denormaliser", "Denormaliser", "orders", "o_custkey o_orderstatus o_orderkey", "SELECT o_custkey, arg_max(o_orderkey, o_orderkey) FILTER (o_orderstatus = 'F') AS F, arg_max(o_orderkey, o_orderkey) FILTER (o_orderstatus = 'O') AS O FROM orders GROUP BY 1", order="o_orderkey", keyColumns="0", pivotColumn="1", valueColumn="2", pivotValues="F,O")
     s("normaliser", "Normaliser", "nation", "n_nationkey n_name n_regionkey", "SELECT n_nationkey, 'name' AS name, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM nation", keyColumns="0", valueColumns="1,2", valueNames="name,region")
-    s("blocking_step", "BlockingStep", "region", "r_regionkey", "SELECT r_regionkey FROM region")
-    s("abort_not_hit", "Abort", "region", "r_regionkey r_name", "SELECT r_regionkey, r_name FROM region", column="1", abortCondition="NULL")
+    s("blocking_step", "BlockingStep", "orders", "o_orderkey", "SELECT o_orderkey FROM orders")
+    s("abort_not_hit", "Abort", "orders", "o_orderkey o_orderstatus", "SELECT o_orderkey, o_orderstatus FROM orders", column="1", abortCondition="NULL")
 
 
 _simple()
@@ -127,8 +130,9 @@ def _nulled(spark, d, name, columns, at, value):
     return _step(spark, "NullIf", _frame(spark, d, name, columns), column=str(at), value=value)
 
 
-_CUSTOMER = "(SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)"
-_NATION = "(SELECT nullif(n_nationkey, 3) AS j, n_name FROM nation WHERE n_nationkey < 20)"
+_CUSTOMER = "(SELECT c_custkey, nullif(c_nationkey, 7) AS k FROM customer)"
+#: keys shifted by five, so that both sides have rows without a partner
+_NATION = "(SELECT nullif(n_nationkey + 5, 7) AS j, n_name FROM nation)"
 
 
 def _joins() -> None:
@@ -136,9 +140,9 @@ def _joins() -> None:
         sql = f"SELECT c_custkey, k, j, n_name FROM {_CUSTOMER} {how.split()[0]} JOIN {_NATION} ON k IS NOT DISTINCT FROM j"
 
         def join(spark, d, how=how):
-            left = _nulled(spark, d, "customer", "c_custkey c_nationkey", 1, "3")
-            right = Frame.of(table(spark, d, "nation").where("n_nationkey < 20").select("n_nationkey", "n_name"))
-            right = _step(spark, "NullIf", right, column="0", value="3")
+            left = _nulled(spark, d, "customer", "c_custkey c_nationkey", 1, "7")
+            right = Frame.of(table(spark, d, "nation").selectExpr("n_nationkey + 5 AS n_nationkey", "n_name"))
+            right = _step(spark, "NullIf", right, column="0", value="7")
             return _step(spark, "MergeJoin", [left, right], leftColumns="1", rightColumns="0", joinType=how).to_df(["c_custkey", "k", "j", "n_name"])
 
         _query("merge_join_" + how.split()[0].lower(), sql)(join)
@@ -165,12 +169,13 @@ def _product(spark, d):
     return _step(spark, "JoinRows", [_frame(spark, d, "region", "r_name"), _frame(spark, d, "nation", "n_name")]).to_df()
 
 
-@_query("merge_rows", "WITH a AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 <> 0) SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN a.c_mktsegment ELSE b.c_mktsegment END AS c_mktsegment, CASE WHEN a.c_custkey IS NULL THEN 'new' WHEN b.c_custkey IS NULL THEN 'deleted' WHEN a.c_mktsegment = b.c_mktsegment THEN 'identical' ELSE 'changed' END AS flag FROM a FULL JOIN b ON a.c_custkey = b.c_custkey")
+@_query("merge_rows", "WITH a AS (SELECT c_custkey, c_mktsegment FROM customer), b AS (SELECT c_custkey + CASE WHEN c_custkey % 4 = 0 THEN 1000000 ELSE 0 END AS c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer) SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN a.c_mktsegment ELSE b.c_mktsegment END AS c_mktsegment, CASE WHEN a.c_custkey IS NULL THEN 'new' WHEN b.c_custkey IS NULL THEN 'deleted' WHEN a.c_mktsegment = b.c_mktsegment THEN 'identical' ELSE 'changed' END AS flag FROM a FULL JOIN b ON a.c_custkey = b.c_custkey")
 def _diff(spark, d):
     # two versions of the table: some customers gone, some new, some changed
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    old = Frame.of(c.where("c_custkey % 5 <> 0"), ["c_custkey"])
-    new = Frame.of(c.where("c_custkey % 3 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "X").otherwise(F.col("c_mktsegment"))), ["c_custkey"])
+    old = Frame.of(c, ["c_custkey"])
+    moved = F.col("c_custkey") + F.when(F.col("c_custkey") % 4 == 0, 1_000_000).otherwise(0)
+    new = Frame.of(c.select(moved.alias("key"), "*").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "X").otherwise(F.col("c_mktsegment"))).select(F.col("key").alias("c_custkey"), "c_mktsegment"), ["c_custkey"])
     return _step(spark, "MergeRows", [old, new], keyColumns="0").to_df()
 
 
@@ -187,10 +192,10 @@ def _ranked(f: Frame, names: list[str]) -> DataFrame:
     return g.df.select(*[c.alias(n) for c, n in zip(g.fields(), names, strict=True)], (F.col("__pos") + 1).alias("rn"))
 
 
-@_query("sort_rows", "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment DESC NULLS FIRST, c_custkey) AS rn FROM customer")
+@_query("sort_rows", "SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_shipdate DESC NULLS FIRST, l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem")
 def _sort(spark, d):
-    f = _step(spark, "SortRows", _frame(spark, d, "customer", "c_custkey c_mktsegment"), columns="1,0", ascending="false,true")
-    return _ranked(f, ["c_custkey", "c_mktsegment"])
+    f = _step(spark, "SortRows", _frame(spark, d, "lineitem", "l_shipdate l_orderkey l_linenumber l_partkey"), columns="0,1,2,3", ascending="false,true,true,true")
+    return _ranked(f, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @_query("sorted_merge", "SELECT k, name, row_number() OVER (ORDER BY name, k) AS rn FROM (SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region)")
@@ -199,9 +204,10 @@ def _merge(spark, d):
     return _ranked(f, ["k", "name"])
 
 
-@_query("append", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+@_query("append", "SELECT *, row_number() OVER (ORDER BY part, k) AS rn FROM (SELECT 0 AS part, c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT 1, s_suppkey, s_name FROM supplier)")
 def _append(spark, d):
-    return _step(spark, "Append", [_frame(spark, d, "nation", "n_nationkey n_name"), _frame(spark, d, "region", "r_regionkey r_name")]).to_df(["k", "name"])
+    ins = [Frame.of(table(spark, d, t).select(F.lit(i).alias("part"), *cs), [cs[0]]) for i, (t, *cs) in enumerate((("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name")))]
+    return _ranked(_step(spark, "Append", ins), ["part", "k", "name"])
 
 
 @_query("row_generator", "SELECT 'a' AS x, 'b' AS y FROM range(50)")
@@ -209,9 +215,12 @@ def _generated(spark, d):
     return _step(spark, "RowGenerator", [], rowLimit="50", field__0="a", field__1="b", fieldNames="x,y").to_df()
 
 
-@_query("set_variable", "SELECT r_regionkey, r_name FROM region")
+@_query("set_variable", "SELECT o_orderkey, o_orderpriority, arg_max(o_orderpriority, o_orderkey) OVER () AS last FROM orders")
 def _variable(spark, d):
-    return _step(spark, "SetVariable", _frame(spark, d, "region", "r_regionkey r_name", "r_regionkey"), column="1", variableName="LAST").to_df()
+    """The variable is read back by the next step."""
+    c = Context(spark)
+    f = STEPS["SetVariable"]([_frame(spark, d, "orders", "o_orderkey o_orderpriority", "o_orderkey")], Params(column="1", variableName="LAST"), c)
+    return STEPS["GetVariable"]([f], Params(variableName="LAST"), c).to_df(["o_orderkey", "o_orderpriority", "last"])
 
 
 @_query("script_value_mod", "SELECT n_nationkey, n_name, upper(n_name) || '/' || CAST(length(n_name) AS VARCHAR) AS label FROM (SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation)")
@@ -224,19 +233,22 @@ def _java(spark, d):
     return _step(spark, "UserDefinedJavaClass", _frame(spark, d, "nation", "n_nationkey n_name"), script="fields[1] = new StringBuilder(fields[1]).reverse().toString(); return fields;").to_df()
 
 
-@_query("system_info")
+@_query("system_info", "SELECT true AS day, true AS clock, true AS names, 1 AS n")
 def _system(spark, d):
-    return _step(spark, "SystemInfo", []).to_df()
+    """What can be said of it in advance: its form."""
+    full = " AND ".join(f"length({c}) > 0" for c in ("hostname", "java_version", "os_name", "os_version"))
+    return _step(spark, "SystemInfo", []).to_df().selectExpr(r"bool_and(date rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS day".replace("date", "`date`", 1), r"bool_and(time rlike '^[0-9]{2}:[0-9]{2}:[0-9]{2}$') AS clock".replace("time", "`time`", 1), f"bool_and({full}) AS names", "CAST(count(1) AS int) AS n")
 
 
-@_query("get_file_names")
+@_query("get_file_names", "SELECT parse_filename(file) AS name, true AS has_size FROM glob('/root/testdata/sf0.01/*.parquet')")
 def _listing(spark, d):
-    return _step(spark, "GetFileNames", [], directory=d, glob="*.parquet").to_df()
+    """The tables of a folder; all sizes of test data have the same."""
+    return _step(spark, "GetFileNames", [], directory=d, glob="*.parquet").to_df().selectExpr("name", "CAST(size AS long) > 0 AS has_size")
 
 
-@_query("file_exists", "SELECT r_name, 'false' AS there FROM region")
+@_query("file_exists", "SELECT c_name, 'false' AS there FROM customer")
 def _exists(spark, d):
-    return _step(spark, "FileExists", _frame(spark, d, "region", "r_name"), column="0").to_df(["r_name", "there"])
+    return _step(spark, "FileExists", _frame(spark, d, "customer", "c_name"), column="0").to_df(["c_name", "there"])
 
 
 _STAR = """
@@ -275,13 +287,18 @@ def _star(spark: SparkSession, d: str) -> DataFrame:
 _query("yaml_pipeline", "SELECT c_mktsegment AS segment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1")(_star)
 
 
-@_query("mapping_subflow", "SELECT n_nationkey, upper(n_name) AS n_name FROM nation")
-def _subflow(spark, d):
+@_query("simple_mapping", "SELECT c_custkey, upper(c_name) AS c_name FROM customer")
+def _simple_subflow(spark, d):
+    return _subflow(spark, d, "SimpleMapping")
+
+
+@_query("mapping_subflow", "SELECT c_custkey, upper(c_name) AS c_name FROM customer")
+def _subflow(spark, d, kind="Mapping"):
     """A sub-flow's definition is a small file on the driver."""
     path = os.path.join(tempfile.mkdtemp(prefix="millrace-flow-"), "sub.yaml")
     with open(path, "w", encoding="utf-8") as f:
         f.write('name: sub\nsteps:\n- {id: i, type: MappingInput}\n- {id: u, type: StringOperations, params: {column: "1", operation: upper}}\n- {id: o, type: MappingOutput}\nhops:\n- {from: i, to: u}\n- {from: u, to: o}\n')
-    return _step(spark, "Mapping", _frame(spark, d, "nation", "n_nationkey n_name"), transformationPath=path).to_df()
+    return _step(spark, kind, _frame(spark, d, "customer", "c_custkey c_name"), transformationPath=path).to_df()
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import wraps
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -18,12 +19,15 @@ ROUTERS: set[str] = set()
 EFFECTS: set[str] = set()
 
 
-def step(*names: str, source: bool = False, router: bool = False, effect: bool = False):
-    """Register `f(inputs: list[Frame], params: Params, context: Context) -> Frame | dict[str, Frame]`."""
+def step(*names: str, source: bool = False, router: bool = False, effect: bool = False, narrow: bool = False):
+    """Register `f(inputs: list[Frame], params: Params, context: Context) -> Frame | dict[str, Frame]`.
+
+    A `narrow` step keeps each row's place, or drops rows: it takes frames whose order is still that of the scan. All
+    others get frames with order columns."""
 
     def add(f: Callable) -> Callable:
         for n in names:
-            STEPS[n] = f
+            STEPS[n] = f if narrow else wraps(f)(lambda ins, p, c: f([x.ordered() for x in ins], p, c))
             for on, group in ((source, SOURCES), (router, ROUTERS), (effect, EFFECTS)):
                 if on:
                     group.add(n)

@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
+from millrace.core.runtime import scratch
 from millrace.plans.compiler import run_transformation
 from millrace.plans.jobs import JobContext, run_job
 from millrace.plans.model import load_job, load_transformation
@@ -64,7 +65,8 @@ class Service:
             now = lambda: datetime.now(timezone.utc).isoformat()
             r.status, r.started_at = "RUNNING", now()
             try:
-                r.result = work()
+                with scratch():
+                    r.result = work()
                 r.status = "COMPLETED" if r.result is not False else "FAILED"
             except Exception as e:
                 r.status, r.error_message = "FAILED", str(e)[:2000]

@@ -6,6 +6,7 @@ import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from urllib.parse import urlparse
 from xml.sax.saxutils import escape
 
 from pyspark.sql import functions as F
@@ -94,7 +95,8 @@ def write_workbook(path: str, sheets: dict[str, list[list[str | None]]]) -> None
 
 @step("ExcelInput", source=True)
 def excel_input(ins: list[Frame], p: Params, c: Context) -> Frame:
-    book = read_workbook(local_path(p.required("filePath"), p, c))
+    path = local_path(p.required("filePath"), p, c)
+    book = read_workbook(urlparse(path).path if path.startswith("file:") else path)
     name = p.text("sheetName") or next(iter(book))
     if name not in book:
         raise ValueError(f"no sheet {name!r}")
@@ -113,30 +115,32 @@ def _rows(f: Frame) -> list[list[str | None]]:
     return [[None if v is None else str(v) for v in r] for r in f.sorted().select(*[x.cast("string") for x in f.fields()]).limit(1_048_577).toLocalIterator()]
 
 
-def _checked(rows: list, had: int = 0) -> list:
-    if len(rows) + had > 1_048_576:
+def _checked(rows: list, had: int = 0, most: int = 1_048_576) -> list:
+    """`had` counts the sheet's rows so far and its header."""
+    if len(rows) + had > most:
         raise ValueError("more rows than a sheet can hold")
     return rows
 
 
-@step("ExcelOutput", effect=True)
+@step("ExcelOutput", effect=True, narrow=True)
 def excel_output(ins: list[Frame], p: Params, c: Context) -> Frame:
-    rows = _checked(_rows(ins[0]))
+    rows = _rows(ins[0])
     head = [[f"col{i}" for i in range(ins[0].width)]] if rows and p.flag("writeHeader", True) else []
+    _checked(rows, len(head))
     write_workbook(p.required("filePath"), {p.text("sheetName", "Sheet1"): head + rows})
     return ins[0]
 
 
-@step("TypeExitExcelWriter", effect=True)
+@step("TypeExitExcelWriter", effect=True, narrow=True)
 def excel_append(ins: list[Frame], p: Params, c: Context) -> Frame:
     path = p.required("filePath")
     if not os.path.exists(path):
         raise ValueError(f"no workbook {path}")
     book = read_workbook(path)
     sheet = book.setdefault(p.text("sheetName") or next(iter(book)), [])
-    rows = _checked(_rows(ins[0]), len(sheet))
+    rows = _rows(ins[0])
     if not sheet and rows and p.flag("writeHeader", True):
         sheet.append([f"col{i}" for i in range(ins[0].width)])
-    sheet += rows
+    sheet += _checked(rows, len(sheet))
     write_workbook(path, book)
     return ins[0]

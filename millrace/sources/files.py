@@ -7,7 +7,6 @@ import os
 import platform
 import re
 import shutil
-import tempfile
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from urllib.parse import urlparse
@@ -15,7 +14,7 @@ from urllib.parse import urlparse
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from millrace.core.runtime import map_arrow
+from millrace.core.runtime import map_arrow, write_shared
 from millrace.frame import Frame
 from millrace.registry import Context, Params, step
 
@@ -49,10 +48,8 @@ def local_path(path: str, p: Params, c: Context) -> str:
     if c.fetch is None:
         raise RuntimeError("no SFTP client: give the context a fetch(params) -> bytes function")
     data = c.fetch(dict(p) | {"filePath": path, "sftpPort": p.text("sftpPort", "22")})
-    target = os.path.join(tempfile.mkdtemp(prefix="millrace-sftp-"), os.path.basename(path))
-    with open(target, "wb") as f:
-        f.write(data)
-    return target
+    # into the shared folder, so that executors can read it
+    return write_shared(c.spark, os.path.basename(path), data)
 
 
 @step("CsvInput", "TextFileInput", source=True)
@@ -75,7 +72,10 @@ def delimited_input(ins: list[Frame], p: Params, c: Context) -> Frame:
     n = max(len(names), 1)
     numbered = lines.withColumn("at", F.monotonically_increasing_id())
     if header:
-        numbered = numbered.where("at > 0")
+        # the first line of every file: the first row of the block that begins it
+        block = lines.select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("begins"), F.monotonically_increasing_id().alias("at"))
+        heads = block.where("begins").groupBy("file").agg(F.min("at").alias("head"))
+        numbered = block.join(heads, F.col("at") == F.col("head"), "left_anti").select("value", "at")
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,44 +136,58 @@ def rows_from_result(ins: list[Frame], p: Params, c: Context) -> Frame:
     return got if got is not None else Frame.of(c.spark.createDataFrame([], "f0 string"), text=True)
 
 
-@step("MappingInput", source=True)
+@step("MappingInput", source=True, narrow=True)
 def mapping_input(ins: list[Frame], p: Params, c: Context) -> Frame:
     if ins:
         return ins[0]
     return c.mapping_input if c.mapping_input is not None else Frame.of(c.spark.createDataFrame([], "f0 string"), text=True)
 
 
-@step("MappingOutput")
+@step("MappingOutput", narrow=True)
 def mapping_output(ins: list[Frame], p: Params, c: Context) -> Frame:
     c.results["mapping"] = ins[0]
     return ins[0]
 
 
-@step("RowsToResult")
+@step("RowsToResult", narrow=True)
 def rows_to_result(ins: list[Frame], p: Params, c: Context) -> Frame:
     c.results["rows"] = ins[0]
     return ins[0]
 
 
-@step("DetectEmptyStream", effect=True)
+@step("DetectEmptyStream", effect=True, narrow=True)
 def detect_empty_stream(ins: list[Frame], p: Params, c: Context) -> Frame:
     c.results["empty"] = ins[0].df.isEmpty()
     return ins[0]
 
 
-@step("WriteToLog", effect=True)
+@step("WriteToLog", effect=True, narrow=True)
 def write_to_log(ins: list[Frame], p: Params, c: Context) -> Frame:
-    """Logs rows in order, at most `logLimit` (100) of them; the rows pass on."""
+    """Logs all rows in order, a partition at a time, or the first `logLimit` of them if that is set; the rows pass on."""
     f = ins[0]
     subject = p.text("logSubject", "")
-    for r in f.sorted().select(*f.fields()).take(p.integer("logLimit", 100)):
+    rows = f.sorted().select(*f.fields())
+    for r in rows.toLocalIterator() if not p.text("logLimit") else rows.take(p.integer("logLimit", 0)):
         c.log(f"{p.text('logLevel', 'INFO')} {subject}[{', '.join('null' if v is None else str(v) for v in r)}]")
     return f
 
 
-@step("TextFileOutput", effect=True)
+def _headed(head: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            if first and b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([head], b.schema.field(0).type)], schema=b.schema)
+                first = False
+            yield b
+
+    return run
+
+
+@step("TextFileOutput", effect=True, narrow=True)
 def text_file_output(ins: list[Frame], p: Params, c: Context) -> Frame:
-    """One file, in order: written by a range sort and one writer; with partitioned=true a folder of parts, in parallel."""
+    """One file, in order: written by a range sort and one writer; with partitioned=true a folder of parts, in parallel, each
+    with the header if there is one."""
     f = ins[0]
     columns = [f.col(x) for x in p.items_of("outputCols")] or f.fields()
     names = p.items_of("fieldNames")
@@ -183,6 +197,8 @@ def text_file_output(ins: list[Frame], p: Params, c: Context) -> Frame:
     head = ",".join(n if not re.search('[,"\n]', n) else '"' + n.replace('"', '""') + '"' for n in names) if p.flag("writeHeader", False) and names else None
     path = p.required("filePath")
     if p.flag("partitioned", False):
+        if head is not None:  # each part begins with it
+            lines = map_arrow(lines, _headed(head), "value string")
         lines.write.mode("overwrite").text(path)
         return f
     target = urlparse(path).path if path.startswith("file:") else path

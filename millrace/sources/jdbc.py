@@ -112,7 +112,7 @@ def table_input(ins: list[Frame], p: Params, c: Context) -> Frame:
     return Frame.of(reader.load(), text=True)
 
 
-@step("TableOutput", effect=True)
+@step("TableOutput", effect=True, narrow=True)
 def table_output(ins: list[Frame], p: Params, c: Context) -> Frame:
     """Fields go to the table's columns by position; truncateFirst deletes its rows before."""
     f, table = ins[0], p.required("tableName")
@@ -165,7 +165,7 @@ def _same(keys: list[str], table: str, stage: str) -> str:
     return " AND ".join(f"{stage}.{k} = {table}.{k}" for k in keys)
 
 
-@step("InsertUpdate", effect=True)
+@step("InsertUpdate", effect=True, narrow=True)
 def insert_update(ins: list[Frame], p: Params, c: Context) -> Frame:
     """Rows whose key exists are updated, the others inserted; of rows with one key the last counts. The rows pass on."""
     f, table, columns, keys = ins[0], p.required("tableName"), p.items_of("columns"), p.items_of("keyFields")
@@ -181,7 +181,7 @@ def insert_update(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f
 
 
-@step("Delete", effect=True)
+@step("Delete", effect=True, narrow=True)
 def delete(ins: list[Frame], p: Params, c: Context) -> Frame:
     f, table, keys = ins[0], p.required("tableName"), p.items_of("keyFields")
     stage = _staged(f, p, c, p.items_of("columns") or keys, keys)
@@ -191,7 +191,7 @@ def delete(ins: list[Frame], p: Params, c: Context) -> Frame:
     return f
 
 
-@step("ExecSQL", effect=True)
+@step("ExecSQL", effect=True, narrow=True)
 def exec_sql(ins: list[Frame], p: Params, c: Context) -> Frame:
     """The statement for each row in order, with the fields of paramFields as parameters; rows come a partition at a
     time, as each is a round trip to the database anyway. No row: it never runs."""

@@ -330,3 +330,98 @@ def test_mail(spark):
     with pytest.raises(ValueError):
         ENTRIES["Mail"](Params({"host": "h"}), c)
     assert JobContext(spark).mail is smtplib.SMTP
+
+
+def test_unequal_in_all_spellings(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
+    for op in ("NE", "NOT_EQUAL", "NEQ", "<>", "!="):
+        got = STEPS["FilterRows"]([Frame.of(df)], Params(column="0", operator=op, value="a", trueStep="t", falseStep="f"), Context(spark))
+        assert [r[0] for r in got["t"].to_df().collect()] == ["b"] and {r[0] for r in got["f"].to_df().collect()} == {"a", None}
+
+
+def test_initcap_drops_outer_blanks(spark):
+    df = spark.createDataFrame([(" ab  cd ",), ("\tX y\n",), ("",), (None,)], "x string")
+    got = STEPS["StringOperations"]([Frame.of(df)], Params(column="0", operation="initcap"), Context(spark)).to_df().collect()
+    assert [r[0] for r in got] == ["Ab Cd", "X Y", "", None]
+
+
+def test_filters_reach_the_scan_below_a_sort_and_a_sink(spark, tmp_path):
+    spark.range(100).selectExpr("id", "CAST(id % 7 AS double) AS v").coalesce(1).write.parquet(str(tmp_path / "t"))
+    f = Frame.of(spark.read.parquet(str(tmp_path / "t")))
+    f = STEPS["FilterRows"]([f], Params(column="1", operator="GT", value="3", trueStep="t"), Context(spark))["t"]
+    for g in (f, STEPS["SortRows"]([f], Params(columns="1,0"), Context(spark))):
+        plan = g.sorted()._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull(v), GreaterThan(v,3.0)]" in plan
+    got = STEPS["Sequence"]([f], Params(), Context(spark)).to_df(["id", "v", "n"]).collect()
+    assert [r["n"] for r in sorted(got, key=lambda r: r["id"])] == list(range(1, len(got) + 1))
+
+
+def test_last_rows_of_equal_places_and_of_descending_orders(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "b"), (3, "c"), (None, "d"), (None, "e")], "k int, v string")
+    for f in (Frame.of(df, ["k"]), STEPS["SortRows"]([Frame.of(df)], Params(columns="0", ascending="false"), Context(spark)), Frame.of(df)):
+        got = STEPS["DetectLastRow"]([f], Params(), Context(spark)).to_df(["k", "v", "last"]).collect()
+        assert sorted(r["last"] for r in got) == ["false"] * 4 + ["true"]
+        c = Context(spark)
+        STEPS["SetVariable"]([f], Params(column="1", variableName="X"), c)
+        assert c.variables["X"] in {"b"} if f.order and f.order[0].descending else {"d", "e"}
+    assert STEPS["DetectLastRow"]([Frame.of(df.limit(0))], Params(), Context(spark)).to_df().count() == 0
+
+
+def test_first_rows_by_several_columns_with_nulls(spark):
+    df = spark.createDataFrame([("x", 2, "b", 1), ("x", None, "a", 2), ("x", 2, "a", 3), ("y", None, None, 4)], "g string, o int, p string, v int")
+    f = Frame.of(df, ["o", "p"])
+    got = STEPS["UniqueRowsByHashSet"]([f], Params(columns="0"), Context(spark)).to_df().collect()
+    assert {(r["g"], r["v"]) for r in got} == {("x", 3), ("y", 4)}
+
+
+def test_strict_reading_of_a_folder_drops_every_header(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f'h,g\n{i},x"y"z\n\n{i}{i},\n')
+    got = STEPS["CsvInput"]([], Params(filePath=f"file://{tmp_path}", strict="true"), Context(spark)).to_df()
+    assert got.columns == ["h", "g"] and sorted(tuple(r) for r in got.collect() if r[0]) == sorted((x, g) for i in range(3) for x, g in ((str(i), "xyz"), (str(i) * 2, None))) and got.count() == 9
+
+
+def test_parts_have_headers(spark, tmp_path):
+    f = Frame.of(spark.range(50).repartition(3), ["id"])
+    STEPS["TextFileOutput"]([f], Params(filePath=f"file://{tmp_path}/o", partitioned="true", writeHeader="true", fieldNames="n"), Context(spark))
+    got = spark.read.csv(f"file://{tmp_path}/o", header=True)
+    assert got.columns == ["n"] and {r[0] for r in got.collect()} == {str(i) for i in range(50)}
+
+
+def test_a_sheet_counts_its_header():
+    from millrace.sources.excel import _checked
+
+    assert _checked([1] * 9, 1, 10) == [1] * 9
+    with pytest.raises(ValueError):
+        _checked([1] * 10, 1, 10)
+
+
+def test_downloads_land_in_the_shared_folder(spark):
+    c = Context(spark, fetch=lambda p: b"name,age\nAlice,30\n")
+    p = Params(filePath="/in/data.csv", sftpHost="h", sftpPassword="x")
+    assert [tuple(r) for r in STEPS["CsvInput"]([], p, c).to_df().collect()] == [("Alice", "30")]
+    from millrace.core.runtime import shared_dir
+    from millrace.sources.files import local_path
+
+    assert local_path("/in/data.csv", p, c).startswith(shared_dir(spark))
+
+
+def test_tables_of_a_block_are_removed(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from millrace.core.runtime import materialise, scratch
+
+    with scratch():
+        inner = materialise(spark.range(3))
+        path = urlparse(inner._millrace_path).path
+        assert os.path.isdir(path) and inner.count() == 3
+    outer = materialise(spark.range(2))
+    assert not os.path.exists(path) and outer.count() == 2
+
+
+def test_all_rows_are_logged(spark):
+    lines = []
+    f = Frame.of(spark.range(250), ["id"])
+    STEPS["WriteToLog"]([f], Params(), Context(spark, log=lines.append))
+    assert len(lines) == 250 and lines[-1] == "INFO [249]"
