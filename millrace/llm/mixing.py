@@ -25,18 +25,20 @@ _FEW_TARGETS = 100_000
 def sized_prefixes(sizes: DataFrame, key: str, source: str, size: str, seed: int, partitions: int | None = None) -> DataFrame:
     """(key, source, size, upto, source_size): upto is the sum of sizes up to and with the row in its source's order.
 
-    The order is by the MD5 of seed and key, then key. Rows without a source are a source of their own.
+    The order is by the MD5 of seed and key, then key. Rows without a source are a source of their own. The key may
+    have any type that can be sorted.
     """
-    own = sizes.select(F.col(source).alias("source"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))).alias("at"), F.col(key).cast("long").alias("doc"), F.col(size).cast("long").alias("size"))
+    id_type = sizes.schema[key].dataType.simpleString()
+    own = sizes.select(F.col(source).cast("string").alias("source"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))).alias("at"), F.col(key).alias("doc"), F.col(size).cast("long").alias("size"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, sums, names = TaskContext.get().partitionId(), {}, ["kind", "source", "doc", "size", "upto", "pid"]
+        pid, sums, names, kind = TaskContext.get().partitionId(), {}, ["kind", "source", "doc", "size", "upto", "pid"], None
         for b in batches:
             if not b.num_rows:
                 continue
-            n = b.num_rows
+            n, kind = b.num_rows, b.column("doc").type
             source_, size_ = b.column("source"), b.column("size").to_numpy(zero_copy_only=False)
             code = source_.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             head = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
@@ -50,9 +52,11 @@ def sized_prefixes(sizes: DataFrame, key: str, source: str, size: str, seed: int
                 sums[x] = int(upto[t])
             yield pa.RecordBatch.from_arrays([pa.array(["doc"] * n), source_, b.column("doc"), pa.array(size_, pa.int64()), pa.array(upto, pa.int64()), pa.array(np.full(n, pid), pa.int32())], names)
         k = len(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(["sum"] * k, pa.string()), pa.array(list(sums), pa.string()), pa.nulls(k, pa.int64()), pa.array(list(sums.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, pid), pa.int32())], names)
+        if not k:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(["sum"] * k, pa.string()), pa.array(list(sums), pa.string()), pa.nulls(k, kind), pa.array(list(sums.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, pid), pa.int32())], names)
 
-    found = sorted_scan(own, ["source", "at", "doc"], scan, "kind string, source string, doc long, size long, upto long, pid int", partitions)
+    found = sorted_scan(own, ["source", "at", "doc"], scan, f"kind string, source string, doc {id_type}, size long, upto long, pid int", partitions)
     # one row a source and partition it lies in: at most sources + partitions rows
     same = Window.partitionBy("source")
     before = same.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

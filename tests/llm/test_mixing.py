@@ -60,3 +60,12 @@ def test_empty_and_clashing(spark):
     assert [tuple(r) for r in docs.collect()] == [(1, "a", 10, 1)]
     docs, _ = mix(one, spark.createDataFrame([], TARGETS))
     assert docs.count() == 0
+
+
+def test_keys_may_be_texts(spark):
+    sizes = spark.createDataFrame([(f"doc {i}", "a" if i % 2 else "b", 10) for i in range(40)], "doc_id string, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 2)], "source string, target_share double, max_repeats int")
+    used, shares = mix(sizes, targets)
+    got = [tuple(r) for r in used.select("doc_id", "source", "n_tokens", "times").collect()]
+    assert sum(n * t for _, s, n, t in got if s == "a") == 100 and sum(n * t for _, s, n, t in got if s == "b") == 300
+    assert {r["source"]: r["tokens"] for r in shares.collect()} == {"a": 100, "b": 300}
