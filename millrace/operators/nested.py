@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.core.runtime import map_arrow
+from millrace.core.runtime import map_arrow, materialise
 from millrace.functions.definitions import text_definition, text_tree, xml_definition, xml_root
 
 _FLAT = "record_id string, node_kind string, parent_key string, child_key string, position int, type string, value string"
@@ -159,8 +159,9 @@ def definition_rows(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def definition_tables(files: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
-    """One flat table for each kind of part (see TABLES), linked by record_id and parent_key."""
-    rows = definition_rows(files, texts)
+    """One flat table for each kind of part (see TABLES), linked by record_id and parent_key. The texts are read once, into
+    a table that all of them select from."""
+    rows = materialise(definition_rows(files, texts))
     return {k: rows.where(F.col("node_kind").isin(*kinds)) for k, kinds in TABLES.items()}
 
 
