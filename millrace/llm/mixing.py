@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from millrace.core.runtime import materialise, sorted_scan
 
 
-#: so many targets are sent to all executors
-_FEW_TARGETS = 100_000
-
 
 def sized_prefixes(sizes: DataFrame, key: str, source: str, size: str, seed: int, partitions: int | None = None) -> DataFrame:
     """(key, source, size, upto, source_size): upto is the sum of sizes up to and with the row in its source's order.
@@ -77,8 +74,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     total = prefixes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one number
     want = targets.select(F.col("source").alias("t_source"), "target_share", F.greatest(F.col("max_repeats"), F.lit(0)).cast("long").alias("max_repeats"))
     want = want.withColumn("all_size", F.lit(total)).withColumn("budget", F.round(F.col("target_share") * F.col("all_size")).cast("long"))
-    small = want.count() <= _FEW_TARGETS  # else the join is left to adaptive execution, which splits hot sources
-    docs = prefixes.join(F.broadcast(want) if small else want, F.col("source") == F.col("t_source"))
+    docs = prefixes.join(want, F.col("source") == F.col("t_source"))  # adaptive: broadcast if small, else hot sources are split
     epochs = F.when(F.col("source_size") > 0, F.least(F.col("max_repeats"), F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1))))).otherwise(F.least(F.col("max_repeats"), F.lit(1)))
     left = F.col("budget") - F.col("epochs") * F.col("source_size")
     # a document that crosses the budget is in if that comes nearer than leaving it out
