@@ -190,7 +190,7 @@ def running_sum(df: DataFrame, value: str, out: str) -> DataFrame:
     inner = own.withColumn(out, F.sum(value).over(Window.partitionBy("__k").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)))
     sums = own.groupBy("__k").agg(F.sum(value).alias("__s"))  # a number a block
     before = sums.select(F.col("__k"), F.coalesce(F.sum("__s").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    return inner.join(F.broadcast(before), "__k").withColumn(out, F.col(out) + F.col("__s")).drop("__k", "__s")
+    return inner.join(before, "__k").withColumn(out, F.col(out) + F.col("__s")).drop("__k", "__s")
 
 
 def unique_names(names: tuple[str, ...]) -> list[str]:

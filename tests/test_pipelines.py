@@ -168,6 +168,23 @@ def test_service(spark, tmp_path):
     assert len(again.list()) == 3 and again.get(bad).error_message and again.get("none") is None
 
 
+def test_projects(spark, tmp_path):
+    """Upload, convert, run, list: the files of one project are found by each other's names."""
+    step = '<transformation><info><name>t</name></info><step><name>g</name><type>RowGenerator</type><limit>3</limit><fields><field><name>a</name><nullif>x</nullif></field></fields></step><step><name>o</name><type>TextFileOutput</type><file><name>{}/o.csv</name></file></step><order><hop><from>g</from><to>o</to></hop></order></transformation>'
+    job = '<job><name>j</name><entries><entry><name>START</name><type>SPECIAL</type><start>Y</start></entry><entry><name>t</name><type>TRANS</type><filename>/old/place/t.ktr</filename></entry></entries><hops><hop><from>START</from><to>t</to><enabled>Y</enabled><unconditional>Y</unconditional></hop></hops></job>'
+    s = Service(spark)
+    good = s.create_project("p", ("j.kjb", job.encode()), {"t.ktr": step.format(tmp_path).encode()})
+    bad = s.create_project("q", ("j.kjb", b"<job><entries>"), {})
+    with pytest.raises(ValueError):
+        s.execute_project(good)
+    assert s.convert_project(bad).status == "FAILED" and s.project(bad).error_message
+    p = s.convert_project(good)
+    assert p.status == "CONVERTED" and set(p.definitions) == {"j.yaml", "t.yaml"} and {x.name for x in s.projects()} == {"p", "q"}
+    e = s.execute_project(good)
+    assert s.wait(e, 120).status == "COMPLETED", s.get(e).error_message
+    assert [x.id for x in s.executions(good)] == [e] and not s.executions(bad) and (tmp_path / "o.csv").exists()
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, v int").parquet(str(tmp_path / "in"))
