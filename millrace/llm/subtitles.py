@@ -13,8 +13,8 @@ _MARKS = re.compile(r"[<\[({*♪#]")
 _SPEAKER = re.compile(r"^\s*(?:>>\s*)?[-–]?\s*(?:[^\W\d_]{2,}(?: [^\W\d_]{2,})?:(?=\s))?")
 #: the end of a web address; what it starts with is looked up backwards, so that most dots cost one comparison
 _DOMAIN = re.compile(r"\.[a-z]{2,}\b")
-#: words by which subtitles name themselves; a choice of this module. Other adverts are known by their web address, and
-#: what is left of them has no subject in the lexicon, as it is spread over documents of all subjects.
+#: words by which subtitles name themselves; a choice of this module. Other adverts are known by their web address; most
+#: words of those without one are of no subject in the lexicon, as they are spread over documents of all subjects.
 _CREDITS = re.compile(r"subtit|untertitel|sous-titre|subtítul", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
 #: what character recognition confuses is written alike (fixed values)
