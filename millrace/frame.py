@@ -21,6 +21,8 @@ from millrace.functions.scalar import number
 
 #: rows that one window task looks at when neighbours are compared
 BLOCK = 1 << 18
+#: the sums of at most so many blocks, a number each, are sent to all executors
+FEW_BLOCKS = 1_000_000
 POS = "__pos"
 
 
@@ -183,14 +185,16 @@ class Frame:
         return replace(frame, df=joined.select(*frame.fields(), POS, F.coalesce("__prev", "__end").alias("__prev")))
 
 
-def running_sum(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with the sum of `value` up to and with each row in POS order, block by block."""
+def running_sum(frame: Frame, value: str, out: str) -> DataFrame:
+    """A positioned frame's rows with the sum of `value` up to and with each row, block by block."""
+    df = frame.df
     block = F.floor(F.col(POS) / BLOCK).cast("long")
     own = df.withColumn("__k", block)
     inner = own.withColumn(out, F.sum(value).over(Window.partitionBy("__k").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)))
     sums = own.groupBy("__k").agg(F.sum(value).alias("__s"))  # a number a block
     before = sums.select(F.col("__k"), F.coalesce(F.sum("__s").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    return inner.join(before, "__k").withColumn(out, F.col(out) + F.col("__s")).drop("__k", "__s")
+    few = frame.total is not None and frame.total <= BLOCK * FEW_BLOCKS  # else adaptive execution chooses
+    return inner.join(F.broadcast(before) if few else before, "__k").withColumn(out, F.col(out) + F.col("__s")).drop("__k", "__s")
 
 
 def unique_names(names: tuple[str, ...]) -> list[str]:

@@ -80,7 +80,7 @@ def fields_change_sequence(ins: list[Frame], p: Params, c: Context) -> Frame:
     """A counter that rises whenever the fields change; it isn't reset."""
     f = ins[0]
     g = _changed(f, [f.index(x) for x in p.items_of("columns")])
-    df = running_sum(g.df, "__new", "__run")
+    df = running_sum(g, "__new", "__run")
     g = Frame(df, g.names, g.order, g.text, g.total)
     n = F.lit(p.integer("start", 1) - 1) + F.col("__run")
     return g.append(scalar.shown(n, f.text), names=p.items_of("name") or None)
@@ -131,7 +131,7 @@ def group_by(ins: list[Frame], p: Params, c: Context) -> Frame:
         df = df.select("*", *[F.col(f"__g{groups.index(o.source)}").alias(f"__o{k}") for k, o in enumerate(sort)])
         return _grouped(df, f, groups, names, tuple(Order(f"__o{k}", o.descending) for k, o in enumerate(sort)))
     g = _changed(f, [f.index(x) for x in p.items_of("groupColumns")])
-    g = Frame(running_sum(g.df, "__new", "__run"), g.names, g.order, g.text, g.total)
+    g = Frame(running_sum(g, "__new", "__run"), g.names, g.order, g.text, g.total)
     groups, aggs, names = _aggregates(g, p, F.count(F.lit(1)), F.col(POS))
     keys = [F.col(f"c{i}").alias(f"__g{k}") for k, i in enumerate(groups)]
     df = g.df.groupBy("__run", *keys).agg(F.min(POS).alias("__o0"), *[a.alias(f"__a{k}") for k, a in enumerate(aggs)])
