@@ -172,3 +172,16 @@ def test_cues_of_all_forms():
 def test_long_addresses_are_read_from_their_start():
     assert hosts("see judge-" + "ab-" * 60 + "cd.example now") >= {folded("judge"), folded("ab"), folded("example")}
     assert hosts("www.judge.example and goal.example") == {folded(w) for w in ("www", "judge", "example", "goal")}
+
+
+def test_odd_inputs(spark):
+    """Only null texts, quotes in a subject's name, clashing columns, null ids and labels."""
+    subjects = spark.createDataFrame([("rock'n \\roll", "Songs, drums"), ("law", None), (None, "x")], "subject string, description string")
+    labels = spark.createDataFrame([(1, " Rock'N \\Roll", "x"), (None, "law", "x"), (2, None, "x"), (3, "rock'n \\roll", None)], "doc_id long, subject string, labelled_by string")
+    none = spark.createDataFrame([(1, None), (2, None), (None, "")], "doc_id long, text string")
+    assert document_subjects(none, subjects, labels).count() == 0
+    songs = srt(["the drums", "a drums solo", "loud drums", "come in"])
+    docs = spark.createDataFrame([(i, songs if i in (1, 2, 3, 4) else srt(["come in", "it is late"]), 7, "t", None) for i in [*range(1, 9), None]], "doc_id long, text string, block int, term string, lang string")
+    got = {(r[0], r[1]) for r in document_subjects(docs, subjects, labels).collect()}
+    assert got == {(i, "rock'n \\roll") for i in range(1, 5)}
+    assert document_subjects(docs, subjects.limit(0), labels).count() == 0
