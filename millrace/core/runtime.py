@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -41,13 +42,19 @@ def materialise(df: DataFrame) -> DataFrame:
     partitions. The table survives lost executors and is removed by `release`, at the end of a `scratch` block, or when the
     driver ends.
     """
-    spark = df.sparkSession
+    return materialise_batches(df.sparkSession, [df])
+
+
+def materialise_batches(spark: SparkSession, batches: Iterable[DataFrame]) -> DataFrame:
+    """One such table of all batches (one at least), which are written one after the other and needn't exist at once."""
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written[path] = spark
     for scope in _scopes.get():
         scope.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    for df in batches:
+        df.write.mode("append").parquet(path)
+        schema = df.schema
+    out = spark.read.schema(schema).parquet(path)
     out._millrace_path = path
     return out
 

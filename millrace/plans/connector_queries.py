@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import ClassVar
 from urllib.parse import urlparse
@@ -108,37 +110,42 @@ def files_rows_count(spark: SparkSession, d: str) -> DataFrame:
     return f.to_df(["at", "name", "path", "n", "there", "locked"]).selectExpr("name", "CASE WHEN name = 'zip' THEN NULL ELSE n END AS n", "there", "locked")
 
 
-def _database(spark: SparkSession, d: str) -> tuple[dict, Context]:
-    from millrace.sources.jdbc import _Connection
+@contextmanager
+def _database(spark: SparkSession, d: str) -> Iterator[tuple[dict, Context]]:
+    """A database of all customers in the driver's memory, which is given back at the end; what was read of it stays."""
+    from millrace.sources.jdbc import _Connection, drop_embedded
 
     p, c = {"dbType": "derby", "jdbcDatabase": "q" + uuid.uuid4().hex}, Context(spark)
     with _Connection(Params(p), c) as db:
         db.run("CREATE TABLE CUSTOMERS (C_KEY VARCHAR(20) NOT NULL PRIMARY KEY, C_NAME VARCHAR(60))")
-    _run(spark, "TableOutput", [_of(spark, d, "customer", "c_custkey", "c_name")], c, tableName="CUSTOMERS", **p)
-    return p, c
+    try:
+        _run(spark, "TableOutput", [_of(spark, d, "customer", "c_custkey", "c_name")], c, tableName="CUSTOMERS", **p)
+        yield p, c
+    finally:
+        drop_embedded(Params(p), c)
 
 
 def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    p, c = _database(spark, d)
-    return _run(spark, "TableInput", [], c, query="SELECT C_KEY, C_NAME FROM CUSTOMERS", **p).to_df(["c_custkey", "c_name"])
+    with _database(spark, d) as (p, c):
+        return _run(spark, "TableInput", [], c, query="SELECT C_KEY, C_NAME FROM CUSTOMERS", **p).to_df(["c_custkey", "c_name"])
 
 
 def insert_update(spark: SparkSession, d: str) -> DataFrame:
     """All suppliers, under the key of the customer with their number, and one row more."""
-    p, c = _database(spark, d)
-    new = _run(spark, "Formula", [_of(spark, d, "supplier", "s_suppkey", "s_name")], formulaString='CONCATENATE("new ";[s_name])', fieldName="x")
-    new = _run(spark, "SelectValues", [new], columns="0,2")
-    more = Frame.of(spark.createDataFrame([("x1", "added")], "a string, b string"), ["a"], text=True)
-    _run(spark, "InsertUpdate", [_run(spark, "Append", [new, more])], c, tableName="CUSTOMERS", columns="C_KEY,C_NAME", keyFields="C_KEY", **p)
-    return _run(spark, "TableInput", [], c, tableName="CUSTOMERS", **p).to_df(["c_custkey", "c_name"])
+    with _database(spark, d) as (p, c):
+        new = _run(spark, "Formula", [_of(spark, d, "supplier", "s_suppkey", "s_name")], formulaString='CONCATENATE("new ";[s_name])', fieldName="x")
+        new = _run(spark, "SelectValues", [new], columns="0,2")
+        more = Frame.of(spark.createDataFrame([("x1", "added")], "a string, b string"), ["a"], text=True)
+        _run(spark, "InsertUpdate", [_run(spark, "Append", [new, more])], c, tableName="CUSTOMERS", columns="C_KEY,C_NAME", keyFields="C_KEY", **p)
+        return _run(spark, "TableInput", [], c, tableName="CUSTOMERS", **p).to_df(["c_custkey", "c_name"])
 
 
 def delete_rows(spark: SparkSession, d: str) -> DataFrame:
     """Customers with the key of a supplier are marked, those with the key of a nation deleted."""
-    p, c = _database(spark, d)
-    _run(spark, "ExecSQL", [_of(spark, d, "supplier", "s_suppkey", "s_name")], c, sql="UPDATE CUSTOMERS SET C_NAME = 'seen' WHERE C_KEY = ?", paramFields="0", **p)
-    _run(spark, "Delete", [_of(spark, d, "nation", "n_nationkey", "n_name")], c, tableName="CUSTOMERS", columns="C_KEY,C_NAME", keyFields="C_KEY", **p)
-    return _run(spark, "TableInput", [], c, tableName="CUSTOMERS", **p).to_df(["c_custkey", "c_name"])
+    with _database(spark, d) as (p, c):
+        _run(spark, "ExecSQL", [_of(spark, d, "supplier", "s_suppkey", "s_name")], c, sql="UPDATE CUSTOMERS SET C_NAME = 'seen' WHERE C_KEY = ?", paramFields="0", **p)
+        _run(spark, "Delete", [_of(spark, d, "nation", "n_nationkey", "n_name")], c, tableName="CUSTOMERS", columns="C_KEY,C_NAME", keyFields="C_KEY", **p)
+        return _run(spark, "TableInput", [], c, tableName="CUSTOMERS", **p).to_df(["c_custkey", "c_name"])
 
 
 def rows_to_result(spark: SparkSession, d: str) -> DataFrame:
@@ -237,13 +244,13 @@ class _Outbox:
 
 def job_entries(spark: SparkSession, d: str) -> DataFrame:
     """A job of all other entries: what they leave behind, and the results of jobs that end in an abort or a failed one."""
-    p, _ = _database(spark, d)
-    entries = [("s", "Start", {}), ("set", "SetVariable", {"variableName": "X", "variableValue": "7"}), ("get", "GetVariable", {"variableName": "NO_SUCH_VARIABLE_HERE", "contextKey": "Y"}), ("log", "WriteToLog", {"message": "hello"}), ("d", "Dummy", {}), ("p", "ExecProcess", {"command": "true"}), ("sql", "ExecSQL", {"sql": "UPDATE CUSTOMERS SET C_NAME = 'seen'", **p}), ("m", "Mail", {"host": "h", "from": "a@example.org", "to": "b@example.org", "subject": "done", "body": "all"}), ("e", "Success", {})]
-    hops = [(a[0], b[0], "success") for a, b in zip(entries, entries[1:], strict=False)]
-    _Outbox.sent.clear()
-    c = JobContext(spark, {}, allow_exec=True, mail=_Outbox)
-    rows = [("result", run_job(spark, _job(entries, hops), c)), ("X", c.values["X"]), ("Y", c.values["Y"]), ("mail", "/".join(_Outbox.sent[0]))]
-    rows.append(("seen", _run(spark, "TableInput", [], tableName="CUSTOMERS", **p).to_df(["k", "name"]).where("name = 'seen'").count()))
+    with _database(spark, d) as (p, _):
+        entries = [("s", "Start", {}), ("set", "SetVariable", {"variableName": "X", "variableValue": "7"}), ("get", "GetVariable", {"variableName": "NO_SUCH_VARIABLE_HERE", "contextKey": "Y"}), ("log", "WriteToLog", {"message": "hello"}), ("d", "Dummy", {}), ("p", "ExecProcess", {"command": "true"}), ("sql", "ExecSQL", {"sql": "UPDATE CUSTOMERS SET C_NAME = 'seen'", **p}), ("m", "Mail", {"host": "h", "from": "a@example.org", "to": "b@example.org", "subject": "done", "body": "all"}), ("e", "Success", {})]
+        hops = [(a[0], b[0], "success") for a, b in zip(entries, entries[1:], strict=False)]
+        _Outbox.sent.clear()
+        c = JobContext(spark, {}, allow_exec=True, mail=_Outbox)
+        rows = [("result", run_job(spark, _job(entries, hops), c)), ("X", c.values["X"]), ("Y", c.values["Y"]), ("mail", "/".join(_Outbox.sent[0]))]
+        rows.append(("seen", _run(spark, "TableInput", [], tableName="CUSTOMERS", **p).to_df(["k", "name"]).where("name = 'seen'").count()))
     rows.append(("aborted", run_job(spark, _job([("s", "Start", {}), ("a", "Abort", {"message": "stop"})], [("s", "a", None)]))))
     rows.append(("failed command", run_job(spark, _job([("s", "Start", {}), ("a", "ExecProcess", {"command": "exit 4"})], [("s", "a", None)]), JobContext(spark, {}, allow_exec=True))))
     rows.append(("no file", run_job(spark, _job([("s", "FileExists", {"filePath": "/no/such/file"}), ("a", "Success", {}), ("b", "Dummy", {})], [("s", "a", "failure"), ("s", "b", "success")]))))

@@ -1,15 +1,24 @@
 """Database steps. Rows move in parallel by Spark's JDBC source; changes of existing rows are set statements against a
-staging table, so that their cost doesn't grow with round trips."""
+staging table, so that their cost doesn't grow with round trips. A database inside the driver's JVM is read and written
+by the driver, as executors can't see it."""
 
 from __future__ import annotations
 
+import logging
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.frame import POS, Frame
+from millrace.core.runtime import materialise_batches
+from millrace.frame import POS, Frame, Order
 from millrace.registry import Context, Params, step
 
+log = logging.getLogger("millrace.jdbc")
+
 #: drivers and ports of databases (fixed values)
 DRIVERS = {
     "oracle": ("oracle.jdbc.OracleDriver", 1521),
@@ -22,6 +31,8 @@ DRIVERS = {
     "db2": ("com.ibm.db2.jcc.DB2Driver", 50000),
     "derby": ("org.apache.derby.iapi.jdbc.AutoloadedDriver", 1527),
 }
+#: rows that the driver holds at once of a database in its own JVM
+ROWS_AT_ONCE = 50_000
 
 
 def driver_of(p: Params) -> str:
@@ -62,6 +73,22 @@ def _options(p: Params) -> dict[str, str]:
     return out
 
 
+def _embedded(p: Params) -> bool:
+    """The database is in the driver's JVM; executors would see another, empty one."""
+    url = url_of(p)
+    return url.startswith("jdbc:h2:mem:") or url.startswith("jdbc:derby:") and not url.startswith("jdbc:derby://")
+
+
+def drop_embedded(p: Params, c: Context) -> None:
+    """Remove a Derby database from the driver's memory, as far as it is in there."""
+    if (url := url_of(p)).startswith("jdbc:derby:memory:"):
+        try:
+            c.spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url.split(";")[0] + ";drop=true")
+        except Py4JJavaError as e:  # Derby reports what it dropped as an error, and what it has not
+            if e.java_exception.getSQLState() not in ("08006", "XJ004"):
+                raise
+
+
 class _Connection:
     """A connection of the driver's JVM; one transaction."""
 
@@ -102,14 +129,37 @@ class _Connection:
 @step("TableInput", source=True)
 def table_input(ins: list[Frame], p: Params, c: Context) -> Frame:
     """`query`, else the table with its whereClause. With partitionColumn, lowerBound, upperBound and numPartitions the
-    table is read in parallel."""
+    table is read in parallel. A database in the driver's JVM is read by the driver, when the step is reached."""
     sql = p.text("query") or f"SELECT * FROM {p.required('tableName')}" + (f" WHERE {p['whereClause']}" if p.text("whereClause") else "")
     reader = c.spark.read.format("jdbc").options(**_options(p)).option("fetchsize", p.integer("fetchSize", 1000))
     if p.text("partitionColumn"):
         reader = reader.options(dbtable=f"({sql}) q", **{k: p.required(k) for k in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")})
     else:
         reader = reader.option("query", sql.rstrip().rstrip(";"))
-    return Frame.of(reader.load(), text=True)
+    return _fetched(reader.load(), sql, p, c) if _embedded(p) else Frame.of(reader.load(), text=True)
+
+
+def _fetched(like: DataFrame, sql: str, p: Params, c: Context) -> Frame:
+    """The rows of a query, with the types of `like`, written to the shared folder in batches and numbered as they came."""
+    jvm = c.spark.sparkContext._jvm
+
+    def batches(rows) -> Iterator[DataFrame]:
+        start = 0
+        while start == 0 or rows.hasNext():
+            some = jvm.scala.collection.JavaConverters.seqAsJavaList(rows.next()) if rows.hasNext() else jvm.java.util.ArrayList()
+            df = DataFrame(c.spark._jsparkSession.createDataFrame(some, like._jdf.schema()), c.spark).toDF(*[f"c{i}" for i in range(len(like.columns))])
+            yield df.coalesce(1).select(*[F.col(x).cast("string").alias(x) for x in df.columns], (F.lit(start).cast("long") + F.monotonically_increasing_id()).alias("__o0"))
+            start += max(some.size(), 1)
+
+    with _Connection(p, c) as db:
+        s = db.own.createStatement()
+        try:
+            s.setFetchSize(p.integer("fetchSize", 1000))
+            rows = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.resultSetToRows(s.executeQuery(sql.rstrip().rstrip(";")), like._jdf.schema())
+            df = materialise_batches(c.spark, batches(rows.grouped(ROWS_AT_ONCE)))
+        finally:
+            s.close()
+    return Frame(df, tuple(like.columns), (Order("__o0"),), text=True)
 
 
 @step("TableOutput", effect=True, narrow=True)
@@ -125,14 +175,40 @@ def table_output(ins: list[Frame], p: Params, c: Context) -> Frame:
 
 
 def _write(df, table: str, p: Params, c: Context) -> None:
-    """Append rows in parallel. Spark's dialect for Derby sends null texts as CLOB, which its VARCHAR columns refuse, and
-    its databases live in the driver anyway; there the driver inserts in batches."""
-    if "derby" not in url_of(p):
+    """Append rows in parallel. Derby's databases are written by the driver: one in its own JVM imports a file of the rows, in
+    one transaction; for others Spark's dialect sends null texts as CLOB, which VARCHAR columns refuse."""
+    if "derby" not in url_of(p) and not _embedded(p):
         df.write.format("jdbc").options(**_options(p)).option("dbtable", table).option("batchsize", p.integer("batchSize", 1000)).mode("append").save()
         return
+    texts = df.select(*[F.col(x).cast("string") for x in df.columns])
     with _Connection(p, c) as db:
-        s = db.own.prepareStatement(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ({', '.join('?' * len(df.columns))})")
-        _batched(s, df.select(*[F.col(x).cast("string") for x in df.columns]), p.integer("batchSize", 1000))
+        if "derby" in url_of(p) and _embedded(p):
+            _import(db, texts, table)
+        else:
+            s = db.own.prepareStatement(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ({', '.join('?' * len(df.columns))})")
+            _batched(s, texts, p.integer("batchSize", 1000))
+
+
+def _import(db: _Connection, texts: DataFrame, table: str) -> None:
+    """Derby reads a file by itself: no value crosses from Python on its own. What isn't null is quoted."""
+    quoted = [F.when(F.col(x).isNull(), "").otherwise(F.concat(F.lit('"'), F.replace(F.col(x), F.lit('"'), F.lit('""')), F.lit('"'))) for x in texts.columns]
+    with tempfile.NamedTemporaryFile("w", encoding="utf-8", newline="", suffix=".csv") as f:
+        n = 0
+        for (line,) in texts.select(F.concat_ws(",", *quoted)).toLocalIterator():
+            f.write(line + "\n")
+            n += 1
+        f.flush()
+        s = db.own.createStatement()
+        meta = s.executeQuery(f"SELECT {', '.join(texts.columns)} FROM {table} WHERE 1 = 0").getMetaData()
+        names = ",".join(meta.getColumnName(i + 1) for i in range(len(texts.columns)))
+        where = meta.getSchemaName(1), meta.getTableName(1)
+        s.close()
+        if n:
+            call = db.own.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_DATA(?, ?, ?, NULL, ?, ',', '\"', 'UTF-8', 0)")
+            for k, v in enumerate((*where, names, f.name)):
+                call.setString(k + 1, v)
+            call.execute()
+            call.close()
 
 
 def _batched(s, df, size: int) -> None:
@@ -158,6 +234,11 @@ def _staged(f: Frame, p: Params, c: Context, columns: list[str], keys: list[str]
     with _Connection(p, c) as db:
         db.run(f"CREATE TABLE {stage} AS SELECT {', '.join(columns)} FROM {p['tableName']} WITH NO DATA" if "derby" in url_of(p) else f"CREATE TABLE {stage} AS SELECT {', '.join(columns)} FROM {p['tableName']} WHERE 1 = 0")
     _write(last, stage, p, c)
+    try:
+        with _Connection(p, c) as db:  # else each changed row scans the staging table
+            db.run(f"CREATE INDEX {stage}_K ON {stage} ({', '.join(keys)})")
+    except Py4JJavaError as e:  # the database has no index over such columns; the statements need none
+        log.warning("no index on %s (%s): %s", stage, ", ".join(keys), e.java_exception.getMessage())
     return stage
 
 

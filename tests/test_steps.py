@@ -284,6 +284,32 @@ def test_jdbc(spark):
     assert get() == [("7", "z")]
 
 
+def test_rows_of_a_database_keep_their_order_and_texts(spark, monkeypatch):
+    import millrace.sources.jdbc as jdbc
+
+    monkeypatch.setattr(jdbc, "ROWS_AT_ONCE", 2)  # the rows come in four batches
+    db = {"dbType": "derby", "jdbcDatabase": "texts"}
+    with jdbc._Connection(Params(db), Context(spark)) as c:
+        c.run("CREATE TABLE T (ID INT, NAME VARCHAR(20), D DOUBLE, TS TIMESTAMP)")
+    rows = [("7", 'a"b,c', "1.5", "2020-01-02 03:04:05"), ("6", "", "1.0E10", None), ("5", None, None, None), ("4", " x ", None, None), ("3", "li\nne\r\n", None, None), ("2", '"', None, None), ("1", "é漢", None, None)]
+    run(spark, "TableOutput", [rows], db | {"tableName": "t"})
+    assert run(spark, "TableInput", [], db | {"query": "SELECT * FROM T ORDER BY ID DESC"}) == rows
+    assert run(spark, "TableInput", [], db | {"tableName": "T", "whereClause": "ID > 9"}) == []
+
+
+def test_a_table_is_as_it_was_when_the_step_was_reached(spark):
+    from millrace.sources.jdbc import _Connection
+
+    p = Params({"dbType": "derby", "jdbcDatabase": "then", "tableName": "T"})
+    with _Connection(p, Context(spark)) as c:
+        c.run("CREATE TABLE T (ID INT)")
+        c.run("INSERT INTO T VALUES (1)")
+    before = STEPS["TableInput"]([], p, Context(spark)).to_df()
+    with _Connection(p, Context(spark)) as c:
+        c.run("DELETE FROM T")
+    assert [tuple(r) for r in before.collect()] == [("1",)]
+
+
 def test_jdbc_urls():
     from millrace.sources.jdbc import driver_of, url_of
 
