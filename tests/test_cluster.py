@@ -31,6 +31,7 @@ os._exit(0)
 """
 WANT = {
     "delete_rows": [["0", "c0"], ["1", "seen"], ["4", "c4"], ["5", "c5"]],
+    "job_entries": [["X", "7"], ["Y", ""], ["aborted", "False"], ["failed command", "False"], ["mail", "h/done/all"], ["no file", "True"], ["result", "True"], ["seen", "6"]],
 }
 
 
