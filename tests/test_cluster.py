@@ -33,6 +33,7 @@ WANT = {
     "delete_rows": [["0", "c0"], ["1", "seen"], ["4", "c4"], ["5", "c5"]],
     "job_entries": [["X", "7"], ["Y", ""], ["aborted", "False"], ["failed command", "False"], ["mail", "h/done/all"], ["no file", "True"], ["result", "True"], ["seen", "6"]],
     "table_round_trip": [[str(i), f"c{i}"] for i in range(6)],
+    "insert_update": [["0", "c0"], ["1", "new s1"], ["2", "new s2"], ["3", "c3"], ["4", "c4"], ["5", "c5"], ["x1", "added"]],
 }
 
 
