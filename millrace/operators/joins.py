@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.core.runtime import materialise, shuffle_partitions
 from millrace.frame import Frame, Order
 from millrace.registry import Context, Params, step
 
+#: pairs of a multiway join that one task forms, and the most tasks that a join is shared by
+PAIRS_A_TASK, MOST_TASKS = 4_000_000, 10_000
+
 
 def _shifted(f: Frame, by: int, side: str) -> Frame:
     """Fields renamed to start at `by`, order columns to the side's own."""
@@ -59,11 +63,55 @@ def stream_lookup(ins: list[Frame], p: Params, c: Context) -> Frame:
     return Frame(df, main.names, main.order, main.text).append(*[F.col("__v")[f"v{k}"] for k in range(len(values))], names=names)
 
 
+def _hot(ins: list[Frame], at: list[int]) -> list[tuple[DataFrame, int]]:
+    """For each join of the inputs before with the next: its keys of more than PAIRS_A_TASK pairs, and the pairs of those.
+
+    Only counts by key are joined here, none of the inputs' rows. `pieces`: how many tasks are to share a key's pairs;
+    `wide`: the rows before are more than the next input's.
+    """
+    counts = None
+    for i, (f, k) in enumerate(zip(ins, at, strict=True)):
+        n = f.df.groupBy(F.col(f"c{k}").alias(f"k{i}")).agg(F.count(F.lit(1)).cast("double").alias(f"n{i}"))
+        counts = n if counts is None else counts.join(n, F.col("k0").eqNullSafe(F.col(f"k{i}"))).drop(f"k{i}")
+        if i:
+            counts = counts.withColumn(f"wide{i}", F.col("n") >= F.col(f"n{i}")).withColumn(f"most{i}", F.greatest("n", f"n{i}")).withColumn("n", F.col("n") * F.col(f"n{i}")).withColumn(f"pairs{i}", F.col("n"))
+        else:
+            counts = counts.withColumn("n", F.col("n0"))
+    counts = materialise(counts)
+    sums = counts.agg(*[F.sum(F.when(F.col(f"pairs{i}") > PAIRS_A_TASK, F.col(f"pairs{i}"))).alias(f"s{i}") for i in range(1, len(ins))]).first()
+    pieces = lambda i: F.least(F.ceil(F.col(f"pairs{i}") / PAIRS_A_TASK), F.col(f"most{i}").cast("long"), F.lit(MOST_TASKS)).cast("int")
+    return [(counts.where(F.col(f"pairs{i}") > PAIRS_A_TASK).select(F.col("k0").alias("__k"), pieces(i).alias("__pieces"), F.col(f"wide{i}").alias("__wide")), int(sums[f"s{i}"] or 0)) for i in range(1, len(ins))]
+
+
+def _shared(left: Frame, right: Frame, a: int, b: int, hot: DataFrame, pairs: int, step_no: int) -> Frame:
+    """The inner pair, with the pairs of a hot key shared by several tasks: each row of the side with more rows of that key
+    goes to one of its pieces, each of the other side to all. Nulls in a struct equal each other."""
+    r = _shifted(right, left.width, f"j{step_no}_")
+    n = min(max(shuffle_partitions(left.df.sparkSession), -(-pairs // PAIRS_A_TASK)), MOST_TASKS)
+
+    def side(f: Frame, k: int, spread: Column, to: str) -> DataFrame:
+        own = f.df.columns
+        df = f.df.join(hot, F.col(f"c{k}").eqNullSafe(F.col("__k")), "left")
+        one = F.array(F.pmod(F.xxhash64(*[F.col(x) for x in own]), F.col("__pieces").cast("long")).cast("int"))
+        piece = F.when(F.col("__pieces").isNull(), F.array(F.lit(0))).when(spread, one).otherwise(F.sequence(F.lit(0), F.col("__pieces") - 1))
+        df = df.select(*own, F.explode(piece).alias("__piece"))
+        return df.select(*own, F.struct(F.col(f"c{k}").alias("k"), F.col("__piece").alias("p")).alias(to)).repartition(n, to)
+
+    one, other = side(left, a, F.col("__wide"), "__l"), side(r, left.width + b, ~F.col("__wide"), "__r")
+    return Frame(one.join(other, F.col("__l") == F.col("__r")).drop("__l", "__r"), left.names + right.names, left.order + r.order, left.text)
+
+
 @step("MultiwayMergeJoin")
 def multiway_merge_join(ins: list[Frame], p: Params, c: Context) -> Frame:
+    """Inner joins on one key. The rows of each key are counted first, as a few rows an input can have so many pairs that
+    the tasks, which follow from the inputs' sizes, would be too few for them."""
     key, out = p.text("keyColumn", "0"), ins[0]
+    at = [f.index(key) for f in ins]
+    kinds = {f.df.schema[f"c{k}"].dataType.simpleString() for f, k in zip(ins, at, strict=True)}
+    hot = _hot(ins, at) if len(ins) > 1 and len(kinds) == 1 else [(None, 0)] * len(ins)
     for i, right in enumerate(ins[1:]):
-        out = _pair(out, right, [(ins[0].index(key), right.index(key))], "inner", i)
+        keys, pairs = hot[i]
+        out = _shared(out, right, at[0], at[i + 1], keys, pairs, i) if pairs else _pair(out, right, [(at[0], at[i + 1])], "inner", i)
     return out
 
 

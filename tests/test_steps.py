@@ -5,6 +5,7 @@ import smtplib
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 import millrace.plans.compiler  # noqa: F401
 from millrace.frame import Frame
@@ -96,6 +97,20 @@ def test_join_types(spark, how, n):
     assert len(got) == n and ("b", "b") in got and (None, None) in got
 
 
+def test_pairs_of_a_hot_key_are_shared_by_tasks(spark, monkeypatch):
+    import millrace.operators.joins as joins
+
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 50)
+    a = [("h", f"a{i}") for i in range(3)] + [(None, "x"), ("r", "y"), ("a", "z")]
+    b = [("h", f"b{i % 30}") for i in range(40)] + [(None, "n"), ("r", "m"), ("b", "z")]
+    c = [("h", f"c{i}") for i in range(20)] + [(None, f"d{i}") for i in range(60)] + [("r", f"e{i}") for i in range(2)]
+    want = sorted((str(x), u, str(y), v, str(z), w) for x, u in a for y, v in b for z, w in c if x == y == z)
+    f = STEPS["MultiwayMergeJoin"]([frame(spark, x) for x in (a, b, c)], Params(), Context(spark)).to_df()
+    sizes = [r[1] for r in f.groupBy(F.spark_partition_id()).count().collect()]
+    assert sorted(tuple(str(x) if i % 2 == 0 else x for i, x in enumerate(r)) for r in f.collect()) == want
+    assert len(want) == 2462 and len(sizes) > 20 and max(sizes) < 500
+
+
 OPS = [("EQ", "18", ["18"]), ("NEQ", "18", ["18.0", "9", "x"]), ("GT", "10", ["18", "18.0", "x"]), ("LTE", "18", ["18", "18.0", "9"]), ("LT", None, []), ("CONTAINS", "8.", ["18.0"]), ("STARTS_WITH", "1", ["18", "18.0"]), ("ENDS_WITH", "8", ["18"]), ("odd", "x", ["x"])]
 
 
