@@ -117,7 +117,7 @@ def _database(spark: SparkSession, d: str) -> Iterator[tuple[dict, Context]]:
 
     p, c = {"dbType": "derby", "jdbcDatabase": "q" + uuid.uuid4().hex}, Context(spark)
     with _Connection(Params(p), c) as db:
-        db.run("CREATE TABLE CUSTOMERS (C_KEY VARCHAR(20) NOT NULL PRIMARY KEY, C_NAME VARCHAR(60))")
+        db.run("CREATE TABLE CUSTOMERS (C_KEY VARCHAR(20) NOT NULL PRIMARY KEY, C_NAME CLOB)")
     try:
         _run(spark, "TableOutput", [_of(spark, d, "customer", "c_custkey", "c_name")], c, tableName="CUSTOMERS", **p)
         yield p, c
