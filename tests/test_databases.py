@@ -23,3 +23,9 @@ def test_names_of_any_length(spark, tmp_path, name):
     texts = ["", None, " x ", 'a,"b"', "li\nne\r\n", "é漢", "x" * 61, "y" * 40_000]
     got, want = compared(spark, tmp_path, name, list(enumerate(texts)), [*SUPPLIERS, (3, "z" * 57), (9, "z" * 40_000)])
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["job_entries", "table_round_trip", "insert_update"])
+def test_missing_and_repeated_keys(spark, tmp_path, name):
+    got, want = compared(spark, tmp_path, name, [*CUSTOMERS, (None, "n"), (None, "m"), (1, "again"), (3, "c3")])
+    assert got == want
