@@ -134,12 +134,15 @@ def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def insert_update(spark: SparkSession, d: str) -> DataFrame:
-    """All suppliers, under the key of the customer with their number, and one row more."""
+    """All suppliers, under the key of the customer with their number, and one row more. Those without a name leave the
+    customer's name as it is, and are only added where there is no such customer."""
     with _database(spark, d) as (p, c):
-        new = _run(spark, "Formula", [_of(spark, d, "supplier", "s_suppkey", "s_name")], formulaString='CONCATENATE("new ";[s_name])', fieldName="x")
+        part = _run(spark, "FilterRows", [_of(spark, d, "supplier", "s_suppkey", "s_name")], column="1", operator="NE", trueStep="named", falseStep="unnamed")
+        new = _run(spark, "Formula", [part["named"]], formulaString='CONCATENATE("new ";[s_name])', fieldName="x")
         new = _run(spark, "SelectValues", [new], columns="0,2")
         more = Frame.of(spark.createDataFrame([("x1", "added")], "a string, b string"), ["a"], text=True)
         _run(spark, "InsertUpdate", [_run(spark, "Append", [new, more])], c, tableName="CUSTOMERS", columns="C_KEY,C_NAME", keyFields="C_KEY", **p)
+        _run(spark, "InsertUpdate", [part["unnamed"]], c, tableName="CUSTOMERS", columns="C_KEY", keyFields="C_KEY", **p)
         return _run(spark, "TableInput", [], c, tableName="CUSTOMERS", **p).to_df(["c_custkey", "c_name"])
 
 

@@ -8,6 +8,8 @@ import logging
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
@@ -226,10 +228,12 @@ def _batched(s, df, size: int) -> None:
 
 
 def _staged(f: Frame, p: Params, c: Context, columns: list[str], keys: list[str]):
-    """The last row of each key, written to a staging table like the target."""
+    """The last row of each key, written to a staging table like the target; a key with a null equals no other, so that each of
+    its rows counts."""
     g = f.positioned()
     at = {n: i for i, n in enumerate(columns)}
-    last = g.df.select(*[g.col(at[n]).alias(n) for n in columns], POS).groupBy(*keys).agg(F.max_by(F.struct(*columns), POS).alias("v")).select("v.*")
+    alone = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.col(POS)).alias("alone")
+    last = g.df.select(*[g.col(at[n]).alias(n) for n in columns], POS).groupBy(*keys, alone).agg(F.max_by(F.struct(*columns), POS).alias("v")).select("v.*")
     stage = "MR_" + uuid.uuid4().hex[:16].upper()
     with _Connection(p, c) as db:
         db.run(f"CREATE TABLE {stage} AS SELECT {', '.join(columns)} FROM {p['tableName']} WITH NO DATA" if "derby" in url_of(p) else f"CREATE TABLE {stage} AS SELECT {', '.join(columns)} FROM {p['tableName']} WHERE 1 = 0")
@@ -248,7 +252,8 @@ def _same(keys: list[str], table: str, stage: str) -> str:
 
 @step("InsertUpdate", effect=True, narrow=True)
 def insert_update(ins: list[Frame], p: Params, c: Context) -> Frame:
-    """Rows whose key exists are updated, the others inserted; of rows with one key the last counts. The rows pass on."""
+    """Rows whose key exists are updated, the others inserted, as are all with a null in their key; of rows with one key the
+    last counts. The rows pass on."""
     f, table, columns, keys = ins[0], p.required("tableName"), p.items_of("columns"), p.items_of("keyFields")
     rest = p.items_of("updateFields") or [x for x in columns if x not in keys]
     stage = _staged(f, p, c, columns, keys)

@@ -29,3 +29,10 @@ def test_names_of_any_length(spark, tmp_path, name):
 def test_missing_and_repeated_keys(spark, tmp_path, name):
     got, want = compared(spark, tmp_path, name, [*CUSTOMERS, (None, "n"), (None, "m"), (1, "again"), (3, "c3")])
     assert got == want
+
+
+@pytest.mark.parametrize("customers", [CUSTOMERS, [*CUSTOMERS, (None, "n"), (1, "again"), (2, "again")]])
+def test_suppliers_without_key_or_name(spark, tmp_path, customers):
+    suppliers = [*SUPPLIERS, (None, "s"), (None, "t"), (None, "s"), (None, None), (3, None), (77, None), (4, "")]
+    got, want = compared(spark, tmp_path, "insert_update", customers, suppliers)
+    assert got == want
